@@ -15,7 +15,7 @@ from lectern.functions.normalize import clean_text, money_to_words, speed_to_wor
 from lectern.operators import narration, rules, titles
 from lectern.operators.joins import number_within
 from lectern.plans.chapters import chapters_of_archives, chapters_of_tables
-from lectern.session import scratch_folder
+from lectern.session import read_spread, scratch_folder
 from lectern.sources import epub, epub_pack
 from lectern.streaming import books as streams
 
@@ -25,38 +25,39 @@ TABLES = ("documents", "labels", "orders", "pages", "part")
 BLOCK = 4096
 
 
-def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run input SQL over the tables it names."""
+def read(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
+    """Run input SQL over the tables it names; ``spread`` for heavy row-by-row work."""
+    reader = read_spread if spread else lambda spark, path: spark.read.parquet(path)
     for table in TABLES:
         for word in (f"from {table}", f"join {table}"):
             sql = sql.replace(word, word.replace(table, f"{{{table}}}"))
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    used = {t: reader(spark, f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 
 # --- text --------------------------------------------------------------------
 def clean(spark, sf_dir):
-    return read(spark, sf_dir, inputs.CLEAN).select("doc_id", clean_text(F.col("t")).alias("text"))
+    return read(spark, sf_dir, inputs.CLEAN, spread=True).select("doc_id", clean_text(F.col("t")).alias("text"))
 
 
 def money(spark, sf_dir):
-    rows = read(spark, sf_dir, inputs.MONEY)
+    rows = read(spark, sf_dir, inputs.MONEY, spread=True)
     return rows.select("o_orderkey", money_to_words(F.col("t")).alias("text"))
 
 
 def speed(spark, sf_dir):
-    rows = read(spark, sf_dir, inputs.SPEED)
+    rows = read(spark, sf_dir, inputs.SPEED, spread=True)
     return rows.select("p_partkey", speed_to_words(F.col("t")).alias("text"))
 
 
 def sanitize(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_spread(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", names.sanitize_filename(F.col("text")).alias("name"))
 
 
 # --- HTML --------------------------------------------------------------------
-def pages(spark, sf_dir):
-    return read(spark, sf_dir, inputs.PAGES)
+def pages(spark, sf_dir, spread: bool = True):
+    return read(spark, sf_dir, inputs.PAGES, spread)
 
 
 def sup_filter(spark, sf_dir):
@@ -84,21 +85,21 @@ def section_title(spark, sf_dir):
 
 # --- rules -------------------------------------------------------------------
 def rules_parse(spark, sf_dir):
-    return rules.parse_rules(rules.rule_lines(read(spark, sf_dir, inputs.RULE_FILES)))
+    return rules.parse_rules(rules.rule_lines(read(spark, sf_dir, inputs.RULE_FILES, spread=True)))
 
 
 def rule_errors(spark, sf_dir):
-    return rules.rule_errors(rules.rule_lines(read(spark, sf_dir, inputs.RULE_FILES)))
+    return rules.rule_errors(rules.rule_lines(read(spark, sf_dir, inputs.RULE_FILES, spread=True)))
 
 
 def rules_apply(spark, sf_dir):
     compiled = rules.compile_rules(inputs.RULES, spark)
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_spread(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", rules.apply_rules(F.col("text"), compiled).alias("text"))
 
 
 def rules_apply_per_book(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read_spread(spark, f"{sf_dir}/documents.parquet")
     chapters = rows.select(F.col("source").alias("book_id"), "doc_id", "text")
     return rules.apply_rules_per_book(
         chapters, read(spark, sf_dir, inputs.BOOK_RULES), "text", spread_by="doc_id"
@@ -154,11 +155,11 @@ def book_counts(spark, sf_dir):
 
 # --- title sources -----------------------------------------------------------
 def page_books(spark, sf_dir):
-    return pages(spark, sf_dir).select("book_id").distinct()
+    return pages(spark, sf_dir, spread=False).select("book_id").distinct()
 
 
 def page_spine(spark, sf_dir):
-    return pages(spark, sf_dir).select("book_id", "page_id", "idref", "path")
+    return pages(spark, sf_dir, spread=False).select("book_id", "page_id", "idref", "path")
 
 
 def title_candidates(spark, sf_dir):
@@ -204,7 +205,7 @@ def chapters_table(spark, sf_dir):
 
 # --- archives ----------------------------------------------------------------
 def archives(spark, sf_dir, defects: bool = False):
-    rows = read(spark, sf_dir, inputs.ARCHIVES)
+    rows = read(spark, sf_dir, inputs.ARCHIVES, spread=True)
     rows = rows.withColumn("chapters", F.split("text", "\n")).drop("text")
     labels = F.transform(
         "chapters", lambda _, i: F.when(i % 2 == 0, F.format_string("Part %d: one", i + 1))

@@ -6,3 +6,10 @@ DataFrame`` steps (titles, rules, numbering, audio manifest), ``sources`` the
 readers and writers, ``plans`` the end-to-end tables and ``streaming`` the
 incremental versions of the same tables.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -31,7 +31,8 @@ SPEED_UNITS = (("k", "kilometers per hour"), ("m", "miles per hour"))
 SPEED_HINTS = ("kph", "mph", ".p.h.")
 
 # --- names -------------------------------------------------------------------
-NOT_FILENAME_SAFE = r"[^a-zA-Z0-9_.\-/]"
+# `\w` is ASCII here: letters, digits and the underscore.
+NOT_FILENAME_SAFE = r"[^\w.\-/]"
 FILENAME_FORMAT = "%04d_%s"
 USABLE_TITLE_MIN_BYTES = 3
 IGNORED_TITLE_TAG = "Cover"

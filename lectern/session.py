@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Re-plan at run time: coalesce small partitions, split skewed ones.
@@ -33,3 +33,15 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     base = shared or tempfile.mkdtemp(prefix="lectern-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table for row-by-row text work on all cores.
+
+    A table with fewer splits than the session has cores, as a small one in a
+    single row group, is dealt out to all of them.  A large table has more
+    splits than that and is read as it lies, without a shuffle.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
