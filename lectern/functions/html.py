@@ -99,7 +99,9 @@ _NUMERIC = (
 _REFERENCE = rf"(?:{'|'.join(_NAMED)}|{_NUMERIC});"
 _UNKNOWN_REFERENCE = rf"&(?=[A-Za-z0-9#])(?!{_REFERENCE})|\x00"
 
-_SKIPPED = rf"{_COMMENT}|{_raw_element('script')}|{_raw_element('style')}"
+_SKIPPED = (
+    rf"{_COMMENT}|{_BOGUS_COMMENT}|{_raw_element('script')}|{_raw_element('style')}"
+)
 TITLE_TEXT = (
     rf"(?is){_SKIPPED}|{_start_tag('title')}(.*?)(?:</title(?=[{_WS}/>]){_ATTRIBUTES}>|\z)"
 )
@@ -111,6 +113,7 @@ _OTHER_ATTRIBUTE = rf"(?!title[{_WS}=/>]){_ATTRIBUTE}"
 SECTION_TITLE = (
     rf"{_FIRST_SECTION}<section(?:[{_WS}/]++|{_OTHER_ATTRIBUTE})*+"
     rf"title[{_WS}]*+=[{_WS}]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^{_WS}\"'>][^{_WS}>]*+))"
+    rf"{_ATTRIBUTES}>"
 )
 
 
