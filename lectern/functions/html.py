@@ -19,6 +19,8 @@ recurse, whatever the page contains.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,17 @@ def decode_references(text: Column) -> Column:
     return F.array_join(F.transform(pieces, decode), "")
 
 
+def _raw_title_tag(page: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(page, F.lit(TITLE_TEXT), F.lit(1)), "")
+
+
+def _raw_section_title(page: Column) -> Column:
+    values = [F.regexp_extract(page, SECTION_TITLE, i) for i in (1, 2, 3)]
+    return F.when(F.rlike(page, F.lit("(?i)<section")), F.concat(*values)).when(
+        page.isNotNull(), ""
+    )
+
+
 def native_body_text(html: Column) -> Column:
     """Text of the body of a simple page, as one expression."""
     return decode_references(strip_markup(simple_body(_newlines(html))))
@@ -178,15 +191,12 @@ def native_body_text(html: Column) -> Column:
 
 def native_title_tag(html: Column) -> Column:
     """Text of all ``title`` elements of a simple page, concatenated."""
-    titles = F.regexp_extract_all(_newlines(html), F.lit(TITLE_TEXT), F.lit(1))
-    return decode_references(F.array_join(titles, ""))
+    return decode_references(_raw_title_tag(_newlines(html)))
 
 
 def native_section_title(html: Column) -> Column:
     """``title`` attribute of the first ``section`` of a simple page, or ''."""
-    values = [F.regexp_extract(_newlines(html), SECTION_TITLE, i) for i in (1, 2, 3)]
-    title = decode_references(F.concat(*values))
-    return F.when(F.rlike(html, F.lit("(?i)<section")), title).when(html.isNotNull(), "")
+    return decode_references(_raw_section_title(_newlines(html)))
 
 
 def extract_page(
@@ -195,33 +205,29 @@ def extract_page(
 ) -> DataFrame:
     """Add the requested columns of each page: body text, title tag, section title.
 
-    Simple pages are read natively, all others by the tokenizer.  Only what is
-    asked for is computed.
+    A page is read natively if its shape is simple and all references in the
+    requested parts are known, else by the tokenizer.  Only what is asked for is
+    computed, each step as a projection of its own over the step before.
     """
     page, body, simple, exact = (f"__{name}" for name in ("page", "body", "simple", "exact"))
-    kept = df.columns
-    raw = F.col(html)
+    wanted = {
+        "body_text": (text, strip_markup(F.col(body))),
+        "title_tag": (title_tag, _raw_title_tag(F.col(page))),
+        "section_title": (section_title, _raw_section_title(F.col(page))),
+    }
+    parts = {field: pair for field, pair in wanted.items() if pair[0] is not None}
+    kept, raw = df.columns, F.col(html)
     df = df.withColumn(page, F.when(F.contains(raw, F.lit("\r")), _newlines(raw)).otherwise(raw))
     df = df.withColumn(body, simple_body(F.col(page)))
-    df = df.withColumn(body, strip_markup(F.col(body)))
-    df = df.withColumn(simple, (F.col(body) != "") & is_simple_text(F.col(body)))
+    df = df.withColumns({f"__{field}": native for field, (_, native) in parts.items()})
+    known = [is_simple_text(F.col(f"__{field}")) for field in parts]
+    df = df.withColumn(simple, reduce(Column.__and__, known, F.col(body) != ""))
     df = df.withColumn(exact, read_pages(F.when(~F.col(simple), F.col(page))))
-    added = []
-    if text is not None:
-        has_reference = F.contains(F.col(body), F.lit("&"))
-        df = df.withColumn(
-            body, F.when(has_reference, decode_references(F.col(body))).otherwise(F.col(body))
-        )
-        added.append(F.when(F.col(simple), F.col(body))
-                     .otherwise(F.col(exact)["body_text"]).alias(text))
-    if title_tag is not None:
-        added.append(_title_or_exact(page, simple, exact, "title_tag",
-                                     native_title_tag).alias(title_tag))
-    if section_title is not None:
-        added.append(_title_or_exact(page, simple, exact, "section_title",
-                                     native_section_title).alias(section_title))
-    return df.select(*kept, *added)
-
-
-def _title_or_exact(page: str, simple: str, exact: str, field: str, native) -> Column:
-    return F.when(F.col(simple), native(F.col(page))).otherwise(F.col(exact)[field])
+    return df.select(*kept, *[_decoded(field, simple, exact).alias(name)
+                              for field, (name, _) in parts.items()])
+
+
+def _decoded(field: str, simple: str, exact: str) -> Column:
+    native = F.col(f"__{field}")
+    decoded = F.when(F.contains(native, F.lit("&")), decode_references(native)).otherwise(native)
+    return F.when(F.col(simple), decoded).otherwise(F.col(exact)[field])

@@ -45,11 +45,12 @@ def test_titles(spark):
         "<body><section><section title='later'>",
         '<body><section alt="a title=no" title=yes>x',
         "<title>a</title><title>b &amp; c</title><body>x",
+        "<title>&Aacute;</title><body><section title='&Ouml;'>x",
     ]
     found = [(title, section) for _, title, section in extract(spark, pages)]
     assert found == [
         ("title_tag", "section_tag"), ("title_tag", ""), ("", "section_tag"), ("", ""), ("", ""),
-        ("", "yes"), ("ab & c", ""),
+        ("", "yes"), ("ab & c", ""), ("Á", "Ö"),
     ]
 
 
