@@ -57,7 +57,8 @@ _PRELUDE = (
 )
 # Elements whose content is not markup; a simple page has none after <body>.
 _RAW_NAMES = "script|style|title|textarea|noscript|iframe|noembed|noframes|xmp|plaintext"
-_SIMPLE_BODY = rf"{_PRELUDE}(?!.*<(?:(?:{_RAW_NAMES})[{_WS}/>]|!\[CDATA\[))(.+)\z"
+_RAW_START = rf"<(?:(?:{_RAW_NAMES})[{_WS}/>]|!\[CDATA\[)"
+_SIMPLE_BODY = rf"{_PRELUDE}((?:[^<]++|(?!{_RAW_START})<)*+)\z"
 # Markup inside the body; a newline right after these block tags is not text.
 _MARKUP = (
     r"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))"
@@ -99,7 +100,7 @@ _NUMERIC = (
     r"|[1-9a-fA-F][0-9a-fA-F]{2}|[1-9a-cA-C][0-9a-fA-F]{3})"
 )
 _REFERENCE = rf"(?:{'|'.join(_NAMED)}|{_NUMERIC});"
-_UNKNOWN_REFERENCE = rf"&(?=[A-Za-z0-9#])(?!{_REFERENCE})|\x00"
+_UNKNOWN_REFERENCE = rf"&(?=[A-Za-z0-9#])(?!{_REFERENCE})"
 
 _SKIPPED = (
     rf"{_COMMENT}|{_BOGUS_COMMENT}|{_raw_element('script')}|{_raw_element('style')}"
@@ -139,7 +140,7 @@ def simple_body(html: Column) -> Column:
 
 def is_simple_text(text: Column) -> Column:
     """True where the native tier can decode every character reference."""
-    return ~F.rlike(text, F.lit(_UNKNOWN_REFERENCE))
+    return ~F.contains(text, F.lit("\0")) & ~F.rlike(text, F.lit(_UNKNOWN_REFERENCE))
 
 
 def strip_markup(body: Column) -> Column:
