@@ -22,26 +22,51 @@ def first_toc_label(path: Column, toc: Column) -> Column:
 
 
 def _needles(paths: DataFrame, toc: DataFrame) -> DataFrame:
-    """Every part of each TOC content that is as long as some path of its book.
-
-    A content contains a path exactly if the path is one of these parts, so the
-    substring join becomes an equality join.  Their number depends on the
-    content alone, never on how many chapters the book has.
+    """Every part of each TOC content that may be a path of its book.
+
+    A content contains a path exactly if the path is one of its parts, so the
+    substring join becomes an equality join.  A part can only be a path if its
+    length lies between the shortest and the longest path of the book and the
+    part itself between the first and the last one, read forwards and backwards.
+    As the paths of a book share a folder and an extension, few parts pass;
+    their number depends on the content alone, never on how many chapters the
+    book has.
     """
-    lengths = paths.groupBy("book_id").agg(F.collect_set(F.length("path")).alias("lengths"))
-    with_lengths = join_per_key(toc, lengths, "book_id", F.col("pos"), "inner")
-    content = F.col("content")
+    path = F.col("path")
+    bounds = paths.groupBy("book_id").agg(
+        F.min(F.length(path)).alias("short"),
+        F.max(F.length(path)).alias("long"),
+        F.min(path).alias("low"),
+        F.max(path).alias("high"),
+        F.min(F.reverse(path)).alias("back_low"),
+        F.max(F.reverse(path)).alias("back_high"),
+    )
+    bounded = join_per_key(toc, bounds, "book_id", F.col("pos"), "inner")
+    content, short, long = F.col("content"), F.col("short"), F.col("long")
+    size = F.length(content)
+    # A path that starts here is at most the rest of the content, and at least
+    # its own first ``short`` characters.
+    starts = F.filter(
+        F.sequence(F.lit(1), size - short + 1),
+        lambda at: (F.substring(content, at, size) >= F.col("low"))
+        & (F.substring(content, at, short) <= F.col("high")),
+    )
     parts = F.flatten(
         F.transform(
-            F.filter(F.col("lengths"), lambda n: n <= F.length(content)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(content) - n + 1),
-                lambda at: F.substring(content, at, n),
+            starts,
+            lambda at: F.transform(
+                F.sequence(short, F.least(long, size - at + 1)),
+                lambda length: F.substring(content, at, length),
             ),
         )
     )
-    return with_lengths.select(
-        "book_id", "pos", "label", F.explode(F.array_distinct(parts)).alias("path")
+    possible = F.filter(
+        parts,
+        lambda part: part.between(F.col("low"), F.col("high"))
+        & F.reverse(part).between(F.col("back_low"), F.col("back_high")),
+    )
+    return bounded.filter(size >= short).select(
+        "book_id", "pos", "label", F.explode(possible).alias("path")
     )
 
 
