@@ -4,8 +4,8 @@ Two tiers:
 
 * the native tier is a chain of regular expressions inside the JVM.  It is
   exact for pages of a *simple shape*: an explicit ``<body>``, nothing but the
-  usual metadata before it, no raw-text elements inside it, and only character
-  references that it can decode;
+  usual metadata before it, no raw-text elements and no text between table cells
+  inside it, and only character references that it can decode;
 * every other page goes through one Arrow-batched tokenizer
   (:mod:`lectern.functions.html_tokens`).
 
@@ -57,8 +57,15 @@ _PRELUDE = (
 )
 # Elements whose content is not markup; a simple page has none after <body>.
 _RAW_NAMES = "script|style|title|textarea|noscript|iframe|noembed|noframes|xmp|plaintext"
-_RAW_START = rf"<(?:(?:{_RAW_NAMES})[{_WS}/>]|!\[CDATA\[)"
-_SIMPLE_BODY = rf"{_PRELUDE}((?:[^<]++|(?!{_RAW_START})<)*+)\z"
+_TABLE_PART = "caption|colgroup|col|thead|tbody|tfoot|tr|td|th|table"
+# Table markup followed by anything that may not stand outside a cell.
+_STRAY = (
+    rf"(?:(?:table|colgroup|col|thead|tbody|tfoot|tr)(?=[{_WS}/>]){_ATTRIBUTES}"
+    rf"|/(?:caption|colgroup|thead|tbody|tfoot|tr|td|th)(?=[{_WS}/>]){_ATTRIBUTES})>"
+    rf"(?:[{_WS}]++|{_COMMENT})*+(?:[^<{_WS}]|<(?!/?(?:{_TABLE_PART})[{_WS}/>]))"
+)
+_NOT_SIMPLE = rf"(?:{_RAW_NAMES})[{_WS}/>]|!\[CDATA\[|{_STRAY}"
+_SIMPLE_BODY = rf"{_PRELUDE}((?:[^<]++|<(?!{_NOT_SIMPLE}))*+)\z"
 # Markup inside the body; a newline right after these block tags is not text.
 _MARKUP = (
     r"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))"

@@ -75,6 +75,10 @@ PAGES = [
     ("﻿<?xml version='1.0'?><!DOCTYPE html><html><head> </head> <body> x", " x"),
     ("<head><script>'<body>'</script></head> y", "y"),
     ("<body></body>", ""),
+    ("<body>a<table> <tr> <td>b</td> <td>c</td></tr></table>d", "a  b cd"),
+    ("<body>a<table>x<tr><td>b</td>y</tr></table>d", "axybd"),
+    ("<body>a<table><tr><td>b<table><tr>in<td>c</table>e</td></tr><p>z</p></table>d", "azbinced"),
+    ("<table><caption>t</caption><!-- c -->x<tr><th>h</th></tr></table>", "xth"),
     ("<body>&#x1F600; &#55357; &#0;", "😀 � �"),
 ]
 
@@ -93,7 +97,7 @@ def test_native_tier_equals_tokenizer_where_it_applies(spark):
     parts = [
         "<p>", "</p>", "<b class='x>y'>", "text ", "&amp;", "&lt;", "&#8217;", "&#x20AC;", "&#38;lt;", "&",
         " & ", "<!-- c -->", "<br/>", "\n", "<", "< ", "</", "<pre>\n", '<a href="?a=1&b=2">', "é😀", "&quot;",
-        "<section title='s&amp;t'>", "&#65;", "<!x>", "<?y?>", "</body>", ">", "--", "=", '"', "'",
+        "<section title='s&amp;t'>", "&#65;", "<table>", "<tr>", "<td>", "</td>", "</table>", "<!x>", "<?y?>", "</body>", ">", "--", "=", '"', "'",
     ]
     pages = ["<head><title>t</title></head><body>" + "".join(rng.choices(parts, k=12)) for _ in range(3000)]
     rows = spark.createDataFrame([(p,) for p in pages], "html string").select(
