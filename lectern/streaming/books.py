@@ -37,12 +37,17 @@ PAGES = T.StructType(
 )
 
 
-def archive_stream(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
-    """New archives below ``folder``."""
+def file_stream(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
+    """New files below ``folder``; pass through ``epub.readable`` or ``epub.oversized``."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     return reader.option("pathGlobFilter", glob).load(folder)
 
 
+def archive_stream(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
+    """New archives below ``folder`` as ``(path, content)`` rows."""
+    return epub.readable(file_stream(spark, folder, glob))
+
+
 def packed_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New Parquet files with archives as ``(path, content)`` rows."""
     return spark.readStream.schema(PACKED).parquet(folder)
@@ -70,9 +75,10 @@ def convert_archives(
     return _sink(chapters_of_archives(epub.unpack(archives), rules), folder, checkpoint)
 
 
-def collect_rejects(archives: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write the reject rows of all archives that have arrived."""
-    return _sink(epub.rejects(epub.unpack(archives)), folder, checkpoint)
+def collect_rejects(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the reject rows of all files that have arrived (see ``file_stream``)."""
+    unreadable = epub.rejects(epub.unpack(epub.readable(files)))
+    return _sink(unreadable.unionByName(epub.oversized(files)), folder, checkpoint)
 
 
 def convert_pages(
