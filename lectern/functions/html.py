@@ -129,7 +129,7 @@ SECTION_TITLE = (
 
 def filter_footnotes(html: Column) -> Column:
     """Remove ``<sup>`` elements that hold nothing but a number."""
-    return F.regexp_replace(html, P.FOOTNOTE_MARKER, "")
+    return F.regexp_replace(html, P.FOOTNOTE_MARKER, P.FOOTNOTE_TEXT)
 
 
 def _newlines(html: Column) -> Column:
@@ -218,10 +218,11 @@ def extract_page(
     computed, each step as a projection of its own over the step before.
     """
     page, body, simple, exact = (f"__{name}" for name in ("page", "body", "simple", "exact"))
+    is_simple = F.col(body) != ""
     wanted = {
         "body_text": (text, strip_markup(F.col(body))),
-        "title_tag": (title_tag, _raw_title_tag(F.col(page))),
-        "section_title": (section_title, _raw_section_title(F.col(page))),
+        "title_tag": (title_tag, F.when(is_simple, _raw_title_tag(F.col(page)))),
+        "section_title": (section_title, F.when(is_simple, _raw_section_title(F.col(page)))),
     }
     parts = {field: pair for field, pair in wanted.items() if pair[0] is not None}
     kept, raw = df.columns, F.col(html)
@@ -229,7 +230,7 @@ def extract_page(
     df = df.withColumn(body, simple_body(F.col(page)))
     df = df.withColumns({f"__{field}": native for field, (_, native) in parts.items()})
     known = [is_simple_text(F.col(f"__{field}")) for field in parts]
-    df = df.withColumn(simple, reduce(Column.__and__, known, F.col(body) != ""))
+    df = df.withColumn(simple, reduce(Column.__and__, known, is_simple))
     df = df.withColumn(exact, read_pages(F.when(~F.col(simple), F.col(page))))
     return df.select(*kept, *[_decoded(field, simple, exact).alias(name)
                               for field, (name, _) in parts.items()])

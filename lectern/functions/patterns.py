@@ -7,7 +7,13 @@ expressions.  ``(?U)`` makes ``\\s`` mean Unicode white space; ``[0-9]`` and
 """
 
 # --- footnote markers, removed from the raw HTML -----------------------------
-FOOTNOTE_MARKER = r"(?U)<sup[^>]*>\s*[0-9]+\s*</sup>"
+# The marker is `<sup[^>]*>\s*[0-9]+\s*</sup>`.  The first alternative takes any
+# other <sup> tag as a whole and puts it back, so a page of unfinished tags is
+# read once and not from each of them to its end.
+FOOTNOTE_MARKER = (
+    r"(?U)(<sup[^>]*+(?:>(?!\s*+[0-9]++\s*+</sup>)|\z))|<sup[^>]*+>\s*+[0-9]++\s*+</sup>"
+)
+FOOTNOTE_TEXT = "$1"
 
 # --- clean-up ----------------------------------------------------------------
 BREAK_MARK = "@BRK#"

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def test_footnotes(apply):
     assert apply(H.filter_footnotes, list(cases)) == list(cases.values())
 
 
+def test_footnotes_equal_plain_pattern(apply):
+    rng = random.Random(5)
+    parts = ["<sup", "<sup>", ">", " ", "1", "23", "\n", "</sup>", "x", "<", '<sup class="c">', "\u00a0"]
+    pages = ["".join(rng.choices(parts, k=10)) for _ in range(4000)]
+    plain = re.compile(r"<sup[^>]*>[\s]*[0-9]+\s*</sup>")
+    assert apply(H.filter_footnotes, pages) == [plain.sub("", page) for page in pages]
+
+
 def test_titles(spark):
     pages = [
         XHTML.format(title=TITLE, section=SECTION),
@@ -115,7 +124,13 @@ def test_native_tier_equals_tokenizer_where_it_applies(spark):
         assert row.section == page["section_title"], row.html
 
 
-@pytest.mark.parametrize("tail", ["<b " + "x " * 200_000, "<!-- " + "-" * 200_000, "&" * 200_000, "<" * 100_000])
+@pytest.mark.parametrize("page", ["<sup" * 200_000, "<sup>1" * 100_000, "<sup>" + " " * 300_000 + "1"])
+def test_unfinished_footnotes_take_linear_time(apply, page):
+    assert apply(H.filter_footnotes, [page]) == [page]
+
+
+@pytest.mark.parametrize("tail", ["<b " + "x " * 200_000, "<!-- " + "-" * 200_000, "&" * 200_000, "<" * 100_000,
+                                  "<svg>" + "<title>" * 50_000, "<script>" * 50_000, "<table>" * 50_000])
 def test_hostile_pages_neither_recurse_nor_backtrack(spark, tail):
     [(text, _, _)] = extract(spark, ["<body>" + tail])
     assert text == read_page("<body>" + tail)["body_text"]
