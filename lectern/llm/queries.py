@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, packing, quality, secrets
+from lectern.llm import ann, bpe, itq, packing, quality, secrets, simhash
 from lectern.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, labels)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    (embeddings,) = tables(spark, sf_dir, "embeddings")
+    return ann.search(embeddings, every=20)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document, with digests of ids and bytes."""
     (documents,) = tables(spark, sf_dir, "documents")
     return bpe.round_trip(documents, public_tokenizers.path(RANKS))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    (documents,) = tables(spark, sf_dir, "documents")
+    return simhash.near_duplicates(documents)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     (documents,) = tables(spark, sf_dir, "documents")
@@ -42,11 +54,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and representative of every vector."""
+    (embeddings,) = tables(spark, sf_dir, "embeddings")
+    return itq.near_duplicates(embeddings)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op3_ann": op3_ann,
     "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_itq": op10_itq,
 }
 # No operator of the list can be said in SQL over whole tables in useful time.
 ORACLE: dict[str, str] = {}
