@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, itq, packing, quality, secrets, simhash
+from lectern.llm import ann, bpe, itq, packing, quality, secrets, simhash, suffix
 from lectern.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(embeddings, every=20)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when bytes that repeat earlier ones go."""
+    (documents,) = tables(spark, sf_dir, "documents")
+    return suffix.deduplicate(documents).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document, with digests of ids and bytes."""
     (documents,) = tables(spark, sf_dir, "documents")
@@ -63,6 +71,7 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op3_ann": op3_ann,
+    "op4_suffix": op4_suffix,
     "op6_bpe": op6_bpe,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
