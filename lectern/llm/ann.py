@@ -134,23 +134,27 @@ def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return flat.reshape(batch.num_rows, -1).astype(float)
 
 
-def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per query (scores, ids) of its ``k`` best, ties to the smaller id.
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> pa.Array:
+    """Per query a list of (minus score, id) of its ``k`` best, ties to the smaller id.
 
     The matrix product only preselects, with a margin for its rounding; scores
     are summed anew in an order that depends on the two vectors alone.
     """
     rough = q @ x.T
-    margin = 1e-9 * max(1e-300, float(np.abs(x).max())) * np.abs(q).sum(1)
-    for row in range(len(q)):
-        allowed = np.flatnonzero(ids != own[row])
-        values = rough[row, allowed]
-        if len(values) > k:
-            least = np.partition(values, -k)[-k] - margin[row]
-            allowed = allowed[values >= least]
-        score = (x[allowed] * q[row]).sum(1)
-        order = np.lexsort((ids[allowed], -score))[:k]
-        yield score[order], ids[allowed][order]
+    rough[own[:, None] == ids[None, :]] = -np.inf
+    least = np.full(len(q), np.finfo(float).min)
+    if rough.shape[1] > k:
+        margin = 1e-9 * np.abs(x).max() * np.abs(q).sum(1)
+        least = np.maximum(least, np.partition(rough, -k, axis=1)[:, -k] - margin)
+    row, near = np.nonzero(rough >= least[:, None])
+    low = -(x[near] * q[row]).sum(1)
+    order = np.lexsort((ids[near], low, row))
+    row, near, low = row[order], near[order], low[order]
+    starts = np.searchsorted(row, np.arange(len(q) + 1))
+    kept = np.arange(len(row)) - starts[row] < k
+    pairs = pa.StructArray.from_arrays([pa.array(low[kept]), pa.array(ids[near[kept]])], ["low", "vec_id"])
+    sizes = np.minimum(np.diff(starts), k)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pairs)
 
 
 def search(
@@ -251,22 +255,18 @@ def search(
                 for start in range(0, piece.num_rows, 1024):
                     asked = piece.slice(start, 1024)
                     own = asked.column("vec_id").to_numpy()
-                    found = list(best(x, ids, _vectors(asked, "v"), own, k))
-                    pairs = [
-                        [{"low": -s, "vec_id": i} for s, i in zip(score.tolist(), near.tolist())]
-                        for score, near in found
-                    ]
-                    kind = pa.list_(pa.struct([("low", pa.float64()), ("vec_id", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(pairs, kind)], ["query_id", "found"])
+                    found = best(x, ids, _vectors(asked, "v"), own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), found], ["query_id", "found"])
 
     held = coded.mapInArrow(place, f"shard long, side int, vec_id long, v {kind}")
     asked = able.filter(F.col("vec_id") % every == 0).mapInArrow(ask, f"shard long, side int, vec_id long, v {kind}")
     dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "side", "vec_id")
     merged = dealt.mapInArrow(rank, "query_id long, found array<struct<low:double,vec_id:long>>")
-    nearest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
+    ordered = merged.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    # A candidate of several tables comes with the same score, so next to itself.
+    new = F.filter("found", lambda pair, i: (i == 0) | (pair != F.get("found", F.greatest(i - 1, F.lit(0)))))
     return (
-        merged.groupBy("query_id")
-        .agg(nearest.alias("nearest"))
+        ordered.select("query_id", F.slice(new, 1, k).alias("nearest"))
         .select("query_id", F.posexplode("nearest").alias("at", "near"))
         .select(
             "query_id", (F.col("at") + 1).cast("int").alias("rank"), "near.vec_id", (-F.col("near.low")).alias("score")
