@@ -13,12 +13,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, secrets
+from lectern.llm import language, packing, secrets, simhash, suffix
 from lectern.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in no language the text models know, as those without letters.
+
+    The models learn from the ``lang`` column; a document is then judged by its
+    text and the languages of its source.  Rows without an id are judged by their
+    text alone.
+    """
+    model = language.learn(docs)
+    judged = language.identify(docs, "doc_id", model, F.col("text"), host=F.col("source"))
+    rejected = written(judged.filter("rejected").select("doc_id").distinct(), "rejected")
+    kept = docs.join(rejected, "doc_id", "left_anti")
+    # Repeated ids may have one good and one bad row; ids are judged as a whole.
+    return kept.filter(F.col("text").rlike(r"\p{L}"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id in each group of near copies.
+
+    Copies are linked at a similarity of 0.8 on shingles of five words.  Rows without an id cannot be named as copies and stay; of rows that repeat
+    an id one stays.
+    """
+    groups = simhash.similar_documents(docs, words=5, similarity=0.8)
+    kept = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut bytes of 100-byte strings that an earlier document has from every text."""
+    return suffix.rewrite(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every span the secret scan finds by a mark; all documents stay."""
     return secrets.redact(docs)
@@ -30,6 +62,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", keep_known_languages),
+    ("simhash_dedup", keep_one_of_near_copies),
+    ("suffix_dedup", cut_repeated_passages),
     ("secret_scan", redact_secrets),
     ("packing", pack_sequences),
 ]

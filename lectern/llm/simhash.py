@@ -16,6 +16,7 @@ size, and no pair of it is ever emitted: only forests are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,24 +32,26 @@ from lectern.llm.components import components
 SEED = 42
 BITS = 64
 DISTANCE = 3
-# Blocks of a fingerprint; all but DISTANCE of them agree in some bucket.
-BLOCKS = 5
 # Rows that meet in one comparison.
 CHUNK = 1024
 # Reference fingerprints of the pivot table: fixed bit patterns.
 PIVOTS = 16
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints, spread over the space by hashing their number."""
-    return np.array([xxhash.xxh64_intdigest(str(i), SEED) for i in range(count)], np.uint64)
+def pivots(width: int = 1, count: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints of ``width`` words, by hashing their number."""
+    found = [xxhash.xxh64_intdigest(str(i), SEED) for i in range(count * width)]
+    return np.array(found, np.uint64).reshape(count, width)
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a whole text."""
+def fingerprint(text: str, words: int = 3, width: int = 1) -> list[int]:
+    """SimHash of the word shingles of a whole text, in words of 64 bits.
+
+    The first word takes the XXH64 of a shingle, further ones take mixes of it.
+    """
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return [0] * width
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -59,32 +62,40 @@ def fingerprint(text: str, words: int = 3) -> int:
         np.uint64,
         len(tokens) - size + 1,
     )
-    set_bits = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        raw = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        set_bits += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    out = []
+    for number in range(width):
+        set_bits = np.zeros(BITS, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            raw = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            set_bits += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * number)
+        hashes ^= hashes >> np.uint64(29)
+    return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long; map-only.
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, width: int = 1) -> DataFrame:
+    """``doc_id`` and the fingerprint as signed longs ``w0, w1, ...``; map-only.
 
     A null text or one without words has fingerprint zero.
     """
+    names = [f"w{i}" for i in range(width)]
 
     @without_gc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = np.array([fingerprint(t, words) for t in texts_of(batch, text)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"]
-            )
+            found = np.array([fingerprint(t, words, width) for t in texts_of(batch, text)], np.uint64)
+            columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(width)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *names])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", text).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
-def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:
-    """Masks of the blocks that must agree, one per choice of ``distance`` others."""
+def block_masks(distance: int, blocks: int) -> list[int]:
+    """Masks of the blocks that must agree, one per choice of ``distance`` others.
+
+    Two fingerprints within ``distance`` bits agree on the blocks of some mask.
+    """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
     return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
@@ -102,16 +113,19 @@ def _keys(fp: Column, masks: list[int]) -> Column:
 
 
 def links_among(left: np.ndarray, right: np.ndarray, references: np.ndarray, distance: int) -> np.ndarray:
-    """Boolean matrix of the pairs within ``distance`` bits, pruned by pivots."""
-    table = [np.bitwise_count(side[:, None] ^ references[None, :]).astype(np.int8) for side in (left, right)]
-    near = np.abs(table[0][:, None, 0] - table[1][None, :, 0]) <= distance
-    i, j = np.nonzero(near)
+    """Boolean matrix of the pairs within ``distance`` bits, pruned by pivots.
+
+    Fingerprints are rows of words.
+    """
+    apart = lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+    table = [apart(side[:, None], references[None, :]) for side in (left, right)]
+    i, j = np.nonzero(np.abs(table[0][:, None, 0] - table[1][None, :, 0]) <= distance)
     for p in range(1, len(references)):
         if len(i) < 64:
             break
         kept = np.abs(table[0][i, p] - table[1][j, p]) <= distance
         i, j = i[kept], j[kept]
-    kept = np.bitwise_count(left[i] ^ right[j]) <= distance
+    kept = apart(left[i], right[j]) <= distance
     out = np.zeros((len(left), len(right)), bool)
     out[i[kept], j[kept]] = True
     return out
@@ -156,6 +170,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict
         yield held
 
 
+def _words_of(group: dict[str, np.ndarray]) -> np.ndarray:
+    names = sorted(n for n in group if n[0] == "w" and n[1:].isdigit())
+    return np.stack([group[n].view(np.uint64) for n in names], 1)
+
+
 def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     none = np.zeros(0, np.int64)
     a = np.concatenate([none, *(f[0] for f in found)])
@@ -167,11 +186,11 @@ def _inside_chunks(rows: DataFrame, distance: int) -> DataFrame:
     """Forest links inside each chunk of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references, found = pivots(), []
+        found = []
         for group in _groups(batches, ["m", "k", "chunk"]):
-            values = group["fp"].view(np.uint64)
-            for seed, others in _trees(links_among(values, values, references, distance)):
-                found.append((group["fp"][others], np.full(len(others), group["fp"][seed])))
+            values, node = _words_of(group), group["node"]
+            for seed, others in _trees(links_among(values, values, pivots(values.shape[1]), distance)):
+                found.append((node[others], np.full(len(others), node[seed])))
         yield _edges(found)
 
     dealt = rows.repartition("m", "k", "chunk").sortWithinPartitions("m", "k", "chunk")
@@ -182,13 +201,13 @@ def _across_chunks(rows: DataFrame, distance: int) -> DataFrame:
     """Links between components, in blocks of all rows against the minor ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references, found = pivots(), []
+        found = []
         for group in _groups(batches, ["m", "k", "chunk", "other"]):
             minor = group["side"] == 1
             if not minor.any() or minor.all():
                 continue
-            left, right = group["fp"][~minor].view(np.uint64), group["fp"][minor].view(np.uint64)
-            i, j = np.nonzero(links_among(left, right, references, distance))
+            values = _words_of(group)
+            i, j = np.nonzero(links_among(values[~minor], values[minor], pivots(values.shape[1]), distance))
             a, b = group["label"][~minor][i], group["label"][minor][j]
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
             found.append((pairs[:, 0], pairs[:, 1]))
@@ -198,27 +217,28 @@ def _across_chunks(rows: DataFrame, distance: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def linked_classes(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """(fp, component) for the distinct fingerprints ``fp`` that have links.
+def linked_classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(node, component) for fingerprints that share buckets and have links.
 
-    ``component`` is the smallest fingerprint reachable over links of at most
-    ``distance`` bits; a class that is the smallest of its component has no row.
+    ``rows`` has a row per bucket of each class: table ``m``, key ``k``, the long
+    ``node`` that names the class, and the words ``w0, w1, ...``.  ``component``
+    is the smallest node reachable over links of at most ``distance`` bits; the
+    smallest node of a component has no row.
     """
-    key = F.explode(_keys(F.col("fp"), block_masks(distance, blocks))).alias("key")
-    rows = classes.select("fp", key).select("fp", "key.m", "key.k")
+    words = sorted(c for c in rows.columns if c[0] == "w")
     sizes = rows.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = written(sizes, "buckets")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     chunked = rows.join(sizes, ["m", "k"]).select(
-        "m", "k", "fp", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk")
+        "m", "k", "node", *words, F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")
     )
     first = written(components(_inside_chunks(chunked, distance)), "first-round")
 
     # Second round: buckets of several chunks whose members are not all together.
     wide = written(
         rows.join(sizes.filter(F.col("n") > CHUNK), ["m", "k"])
-        .join(first.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("m", "k", "fp", F.coalesce("component", "fp").alias("label")),
+        .join(first, "node", "left")
+        .select("m", "k", "node", *words, F.coalesce("component", "node").alias("label")),
         "wide-buckets",
     )
     held = wide.groupBy("m", "k", "label").agg(F.count(F.lit(1)).alias("held"))
@@ -230,36 +250,39 @@ def linked_classes(classes: DataFrame, distance: int = DISTANCE, blocks: int = B
     of_all = F.ceil(F.col("n") / CHUNK).cast("int")
     of_minor = F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int")
     open_rows = wide.join(top, ["m", "k"])
-    part = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = open_rows.select("m", "k", "fp", "label", part(of_all).alias("chunk"), every(of_minor).alias("other"))
+    left = open_rows.select("m", "k", "node", *words, "label", part(of_all).alias("chunk"), every(of_minor).alias("other"))
     right = open_rows.filter("label <> major").select(
-        "m", "k", "fp", "label", every(of_all).alias("chunk"), part(of_minor).alias("other")
+        "m", "k", "node", *words, "label", every(of_all).alias("chunk"), part(of_minor).alias("other")
     )
     both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     second = components(_across_chunks(both, distance))
 
     onward = second.select(F.col("node").alias("component"), F.col("component").alias("further"))
     moved = first.join(onward, "component", "left").select(
-        F.col("node").alias("fp"), F.coalesce("further", "component").alias("component")
+        "node", F.coalesce("further", "component").alias("component")
     )
-    return moved.unionByName(second.select(F.col("node").alias("fp"), "component"))
+    return moved.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
     ``component_id`` is the smallest id reachable over links of fingerprints with
-    at most ``distance`` differing bits.  Null and wordless texts share the
-    fingerprint zero and link like any other.  Rows with a null id keep their
-    fingerprint and carry links; the component of nothing but null ids is null.
-    Repeated ids give a row each.  An empty table gives no rows.
+    at most ``distance`` differing bits; all such links are found.  Null and
+    wordless texts share the fingerprint zero and link like any other.  Rows with
+    a null id keep their fingerprint and carry links; the component of nothing
+    but null ids is null.  Repeated ids give a row each.  An empty table gives no
+    rows.
     """
-    found = written(fingerprints(docs, text, words), "fingerprints")
+    found = written(fingerprints(docs, text, words).withColumnRenamed("w0", "fp"), "fingerprints")
     classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = linked_classes(classes.select("fp"), distance)
+    key = F.explode(_keys(F.col("fp"), block_masks(distance, distance + 2))).alias("key")
+    rows = classes.select("fp", key).select("key.m", "key.k", F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    labels = linked_classes(rows, distance)
     labelled = written(
-        classes.join(labels, "fp", "left").select(
+        classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
             "fp", "first", F.coalesce("component", "fp").alias("label")
         ),
         "labels",
@@ -269,3 +292,61 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, distanc
     return found.join(of_class, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def radius(similarity: float, width: int) -> int:
+    """Bits in which fingerprints of texts of this similarity differ.
+
+    Sets of one size with Jaccard similarity s have the cosine 2s / (1 + s), and
+    a bit differs with the angle over pi; one standard deviation is added.
+    """
+    bits, share = BITS * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _sampled_keys(classes: DataFrame, width: int, tables: int, bits: int) -> DataFrame:
+    """``m, k, node, w0, ...``: a row per table with ``bits`` bits of the fingerprint."""
+    names = [f"w{i}" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(SEED)
+        chosen = [np.sort(rng.choice(BITS * width, bits, replace=False)) for _ in range(tables)]
+        power = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            words = np.stack([batch.column(n).to_numpy() for n in names], 1)
+            spread = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for table, places in enumerate(chosen):
+                key = pa.array(spread[:, places] @ power)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), table, np.int32)), key, *batch.columns], ["m", "k", *batch.schema.names]
+                )
+
+    kinds = ", ".join(f"{n} long" for n in ["k", "node", *names])
+    return classes.select("node", *names).mapInArrow(run, f"m int, {kinds}")
+
+
+def similar_documents(
+    docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4, recall: float = 0.98
+) -> DataFrame:
+    """``doc_id, component_id`` for every document with an id, linking similar texts.
+
+    Fingerprints of ``width`` words estimate the similarity of shingle sets well
+    enough to tell 0.8 from 0.7.  Texts that far apart share no block, so buckets
+    take bits at random: as many as the logarithm of the number of classes asks
+    for, and as many tables as find a pair at the threshold with chance
+    ``recall``.  Texts without words are not similar to any other.
+    """
+    names = [f"w{i}" for i in range(width)]
+    found = written(fingerprints(docs.filter("doc_id is not null"), text, words, width), "fingerprints")
+    worded = found.filter(" or ".join(f"{n} <> 0" for n in names))
+    classes = written(worded.groupBy(*names).agg(F.min("doc_id").alias("node")), "classes")
+    bits = int(np.clip(round(math.log2(max(classes.count(), 2))) - 4, 4, 60))
+    agree = (1 - radius(similarity, width) / (BITS * width)) ** bits
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    labels = linked_classes(_sampled_keys(classes, width, tables, bits), radius(similarity, width))
+    of_class = written(
+        classes.join(labels, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")), "of-class"
+    )
+    linked = worded.join(of_class, names).select("doc_id", "component_id")
+    wordless = found.filter(" and ".join(f"{n} = 0" for n in names))
+    return linked.unionByName(wordless.select("doc_id", F.col("doc_id").alias("component_id")))
