@@ -37,9 +37,9 @@ from lectern.llm.common import slices, texts_of, written
 LENGTH = 100
 GRAM = 32
 # Segments of one anchor up to which they are compared in one index.
-HOT = 1024
+HOT = 4096
 # Text that goes into one index.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 # Anchors a task gathers before it reduces equal segments.
 GATHERED = 1 << 21
 NO_ID = (1 << 63) - 1
@@ -122,9 +122,9 @@ def segments(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of a text with sampled run ends.
 
-    Kept are one row per run: its byte, where it starts, where its first row goes
-    under the backward step, and the text position at its last row.  ``groups``
-    are the rows at which a new prefix of ``length`` bytes begins.
+    A run is kept as its byte, the shift of its rows under the backward step and
+    the text position at its last row; ``run_of`` is the rank of run heads, and
+    ``groups`` the rows at which a new prefix of ``length`` bytes begins.
     """
 
     def __init__(self, text: np.ndarray, length: int = LENGTH) -> None:
@@ -138,26 +138,25 @@ class RunIndex:
         new[zero] = True
         if zero + 1 < size:
             new[zero + 1] = True
-        self.start = np.flatnonzero(new)
-        self.byte = before[self.start]
-        self.size, self.groups, self.zero = size, groups, zero
-        run_length = np.diff(self.start, append=size)
+        start = np.flatnonzero(new)
+        self.byte = before[start]
+        self.size, self.groups = size, groups
+        self.run_of = (np.cumsum(new) - 1).astype(np.int32)
+        run_length = np.diff(start, append=size)
         # Backward step: rows in order of (byte before, row).
         by_byte = np.argsort(self.byte, kind="stable")
-        target = np.empty(len(self.start), np.int64)
+        target = np.empty(len(start), np.int64)
         target[by_byte] = np.cumsum(run_length[by_byte]) - run_length[by_byte]
-        self.to_run = np.searchsorted(self.start, target, "right") - 1
-        self.to_offset = target - self.start[self.to_run]
-        self.length = run_length
-        self.end_row = self.start + run_length - 1
+        self.shift = (target - start).astype(np.int32)
+        self.end_row = start + run_length - 1
         self.end_text = order[self.end_row]
 
     @staticmethod
     def _suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes in order, and the rows where the prefix changes.
 
-        Prefix doubling from eight bytes on.  The text is cyclic and ends in
-        its one largest byte string, so all ranks become distinct.
+        Prefix doubling from eight bytes on.  The text is cyclic and its longest
+        run of the largest byte is at its end, so all ranks become distinct.
         """
         size = len(text)
         rank = _words(np.concatenate([text, text[: 7] if size > 7 else np.resize(text, 7)]))
@@ -196,27 +195,19 @@ class RunIndex:
         until the next sampled position, one backward step for all at a time.
         """
         by_text = np.argsort(self.end_text)
-        position = self.end_text[by_text]
-        run = by_text
-        offset = self.length[run] - 1
-        stop = np.concatenate([[-1], position[:-1]])
+        position, row = self.end_text[by_text].astype(np.int32), self.end_row[by_text].astype(np.int32)
+        stop = np.concatenate([[np.int32(-1)], position[:-1]])
         while len(position):
-            yield position, self.start[run] + offset
-            position = position - 1
-            going = position > stop
-            position, stop = position[going], stop[going]
-            step_run, step_offset = self.to_run[run[going]], self.to_offset[run[going]] + offset[going]
-            while (over := step_offset >= self.length[step_run]).any():
-                step_offset = np.where(over, step_offset - self.length[step_run], step_offset)
-                step_run = step_run + over
-            run, offset = step_run, step_offset
+            yield position, row
+            going = np.flatnonzero(position - 1 > stop)
+            position, stop, row = position[going] - 1, stop[going], row[going]
+            row = row + self.shift[self.run_of[row]]
 
     def matches_earlier(self) -> np.ndarray:
         """For each text position, whether its next ``length`` bytes start earlier.
 
         The matching statistic of a position is the group of rows that share its
         prefix; all but the smallest text position of a group match earlier text.
-        The text must end in a byte run that the stream covers to the last byte.
         """
         group, of_row = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int64)
         of_row[self.groups[1:]] = 1
@@ -234,15 +225,15 @@ class RunIndex:
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Per text, whether each of its windows also starts earlier in the list.
 
-    Texts are joined by bytes that occur in no UTF-8 text; the last one is
-    longer, which makes the cyclic suffixes distinct.
+    Texts are joined by a byte that occurs in no UTF-8 text and a number, so no
+    suffixes are alike beyond the end of a text.  No window spans two texts.
     """
-    joined = b"\xff".join(texts) + b"\xff" * 9
+    joined = b"".join(text + b"\xff" + i.to_bytes(3, "big") for i, text in enumerate(texts)) + b"\xff" * 9
     found = RunIndex(np.frombuffer(joined, np.uint8), length).matches_earlier()
     out, at = [], 0
     for text in texts:
         out.append(found[at : at + len(text) - length + 1])
-        at += len(text) + 1
+        at += len(text) + 4
     return out
 
 
