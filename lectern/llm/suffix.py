@@ -45,6 +45,7 @@ GATHERED = 1 << 21
 NO_ID = (1 << 63) - 1
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_DIGITS = bytes.maketrans(b"0123456789", bytes(range(0xF5, 0xFF)))
 _BASE = 0x5851F42D4C957F2D
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -225,15 +226,16 @@ class RunIndex:
 def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Per text, whether each of its windows also starts earlier in the list.
 
-    Texts are joined by a byte that occurs in no UTF-8 text and a number, so no
-    suffixes are alike beyond the end of a text.  No window spans two texts.
+    Texts are joined by their number in bytes that occur in no UTF-8 text, so no
+    suffixes are alike beyond the end of a text, and no window equals a string
+    that touches a number.
     """
-    joined = b"".join(text + b"\xff" + i.to_bytes(3, "big") for i, text in enumerate(texts)) + b"\xff" * 9
+    joined = b"".join(text + b"\xff" + (b"%07d" % i).translate(_DIGITS) for i, text in enumerate(texts)) + b"\xff" * 9
     found = RunIndex(np.frombuffer(joined, np.uint8), length).matches_earlier()
     out, at = [], 0
     for text in texts:
         out.append(found[at : at + len(text) - length + 1])
-        at += len(text) + 4
+        at += len(text) + 8
     return out
 
 
