@@ -146,12 +146,12 @@ origins as (select conv_id, lower(trim(regexp_replace(said, '[ \t\r\n]+', ' ', '
     from said where lower(trim(regexp_replace(said, '[ \t\r\n]+', ' ', 'g'))) <> '' group by 1, 2),
 quoting as (select distinct conv_id, turn, text, parts from own
     where len(list_filter(parts, x -> x.level > 0)) > 0),
-lines as (select conv_id, turn, text, unnest(range(1, len(parts) + 1)) as at, unnest(parts) as part from quoting),
+lines as (select conv_id, turn, text, unnest(range(1, len(parts) + 1)) as place, unnest(parts) as part from quoting),
 flagged as (select *, case when lag(part.level) over w = part.level then 0 else 1 end as begins
-    from lines window w as (partition by conv_id, turn, text order by at)),
-runs as (select *, sum(begins) over (partition by conv_id, turn, text order by at) as run from flagged),
+    from lines window w as (partition by conv_id, turn, text order by place)),
+runs as (select *, sum(begins) over (partition by conv_id, turn, text order by place) as run from flagged),
 whole as (select conv_id, turn, text, run, part.level as level,
-    list(regexp_replace(part.line, '^[ \t]*((?:>[ \t]*)+)', '') order by at) as content
+    list(regexp_replace(part.line, '^[ \t]*((?:>[ \t]*)+)', '') order by place) as content
     from runs where part.level > 0 group by all),
 parts as (select conv_id, turn, level,
     unnest(list_distinct(list_concat([array_to_string(content, chr(10))], content))) as said from whole),
@@ -163,10 +163,10 @@ by_origin as (select conv_id, turn, origin, sum(case when level = 1 then length(
     count(*) as n from linked group by all),
 parents as (select conv_id, turn, first(case when weight > 0 then origin end order by weight desc, origin desc) as parent_turn,
     sum(n) as n_linked from by_origin group by all),
-climb as (select conv_id, turn, parent_turn as at from parents where parent_turn is not null
+climb as (select conv_id, turn, parent_turn as up from parents where parent_turn is not null
     union all select c.conv_id, c.turn, p.parent_turn from climb c join parents p
-    on c.conv_id = p.conv_id and c.at = p.turn where p.parent_turn is not null),
-roots as (select conv_id, turn, min(at) as root_turn from climb group by all)
+    on c.conv_id = p.conv_id and c.up = p.turn where p.parent_turn is not null),
+roots as (select conv_id, turn, min(up) as root_turn from climb group by all)
 select o.conv_id, o.turn, o.role, o.own_text as text, p.parent_turn, coalesce(r.root_turn, o.turn) as root_turn,
     cast(coalesce(p.n_linked, 0) as bigint) as n_linked,
     concat('<|', coalesce(o.role, ''), '|>', chr(10), o.own_text, chr(10)) as formatted

@@ -120,7 +120,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             for a, b in entropy_spans(run, BASE64.window, BASE64.bits)
             if _mixed(run[a:b])
         ]
-        if added and not ALLOWED.search(run) and not URL.search(text[max(0, at - 2048) : at]):
+        if added and not ALLOWED.search(run) and not URL.search(text[max(0, at - 2048) : at + 2 * run.startswith("//")]):
             found += [(kind, at + a, at + b) for kind, a, b in added]
     return sorted(found, key=lambda span: (span[1], KINDS.index(span[0]), span[2]))
 

@@ -32,6 +32,8 @@ from lectern.llm.components import components
 SEED = 42
 BITS = 64
 DISTANCE = 3
+# Standard deviations by which a wanted similarity may be estimated too low.
+SLACK = 1.5
 # Rows that meet in one comparison.
 CHUNK = 1024
 # Reference fingerprints of the pivot table: fixed bit patterns.
@@ -298,10 +300,10 @@ def radius(similarity: float, width: int) -> int:
     """Bits in which fingerprints of texts of this similarity differ.
 
     Sets of one size with Jaccard similarity s have the cosine 2s / (1 + s), and
-    a bit differs with the angle over pi; one standard deviation is added.
+    a bit differs with the angle over pi; SLACK standard deviations are added.
     """
     bits, share = BITS * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    return math.floor(bits * share + SLACK * math.sqrt(bits * share * (1 - share)))
 
 
 def _sampled_keys(classes: DataFrame, width: int, tables: int, bits: int) -> DataFrame:

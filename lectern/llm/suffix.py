@@ -41,7 +41,9 @@ HOT = 4096
 # Text that goes into one index.
 INDEX_BYTES = 1 << 18
 # Anchors a task gathers before it reduces equal segments.
-GATHERED = 1 << 21
+GATHERED = 1 << 18
+# Text a task turns into arrays at once.
+SLICE_BYTES = 1 << 20
 NO_ID = (1 << 63) - 1
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -291,7 +293,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             raws = [t.encode() for t in texts_of(batch, "text")]
             ends = np.cumsum([len(r) for r in raws])
             found = segments(np.frombuffer(b"".join(raws), np.uint8), ends, length)
