@@ -171,7 +171,7 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     joined = joined.withColumn("posterior", _softmax(_array(logs)))
     names = F.array(*map(F.lit, languages))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return joined.withColumn("lang", names[best - 1]).withColumn("probability", F.array_max("posterior"))
+    return joined.withColumn("lang", F.get(names, best - 1)).withColumn("probability", F.array_max("posterior"))
 
 
 def identify(
@@ -198,7 +198,8 @@ def identify(
         )
     fused = fuse(scored, model.languages)
     names = F.array(*map(F.lit, model.languages))
-    of_text = names[F.array_position("evidence", F.array_max("evidence")).cast("int") - 1]
+    at = F.array_position("evidence", F.array_max("evidence")).cast("int") - 1
+    of_text = F.when(F.col("evidence").isNotNull(), F.get(names, at))
     rejected = F.col("evidence").isNull() | (F.col("probability") < least)
     return fused.select(
         key, F.when(rejected, F.lit(UNKNOWN)).otherwise(F.col("lang")).alias("lang"), "probability",

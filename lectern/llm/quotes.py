@@ -135,17 +135,17 @@ SQL = r"""
 with recursive
 messages as (select conv_id, turn, role, text,
     string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) as lines from conversations),
-leveled as (select *, list_transform(lines, x -> {'line': x,
+leveled as (select *, list_transform(lines, lambda x: {'line': x,
     'level': length(regexp_extract(x, '^[ \t]*((?:>[ \t]*)+)', 1))
       - length(replace(regexp_extract(x, '^[ \t]*((?:>[ \t]*)+)', 1), '>', ''))}) as parts from messages),
 own as (select conv_id, turn, role, text, parts, regexp_replace(
-    array_to_string(list_transform(list_filter(parts, x -> x.level = 0), x -> x.line), chr(10)),
+    array_to_string(list_transform(list_filter(parts, lambda x: x.level = 0), lambda x: x.line), chr(10)),
     '^[ \t\n]+|[ \t\n]+$', '', 'g') as own_text from leveled),
 said as (select conv_id, turn, unnest(list_distinct(list_concat([own_text], string_split(own_text, chr(10))))) as said from own),
 origins as (select conv_id, lower(trim(regexp_replace(said, '[ \t\r\n]+', ' ', 'g'))) as said, min(turn) as origin
     from said where lower(trim(regexp_replace(said, '[ \t\r\n]+', ' ', 'g'))) <> '' group by 1, 2),
 quoting as (select distinct conv_id, turn, text, parts from own
-    where len(list_filter(parts, x -> x.level > 0)) > 0),
+    where len(list_filter(parts, lambda x: x.level > 0)) > 0),
 lines as (select conv_id, turn, text, unnest(range(1, len(parts) + 1)) as place, unnest(parts) as part from quoting),
 flagged as (select *, case when lag(part.level) over w = part.level then 0 else 1 end as begins
     from lines window w as (partition by conv_id, turn, text order by place)),
