@@ -73,7 +73,8 @@ select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as book_id,
     when 1 then replace(html, '<article>', concat('<section title="Part ',
       cast(page_id % 4 as varchar(20)), ' &amp; more"><article>'))
     when 2 then replace(html, '<article>', '<section><article>')
-    else html end,
+    when 3 then replace(html, '<article>', '<article><script>count(1);</script>')
+    else replace(html, '&copy;', '&#0000000000000000000000000169;&#x0000000000000000000000000041;') end,
   '</p>', '<sup class="c">12</sup></p><sup>*</sup>'),
   '. ', concat(' for $12 at 30 k.p.h. ', chr(160), chr(10), chr(10))) as html
 from pages"""
@@ -107,7 +108,7 @@ select concat('book-', cast(doc_id as varchar(20)), '.epub') as path,
   case doc_id % 9 when 1 then 'truncated' when 2 then 'no package' when 3 then 'no title'
     when 4 then 'no creator' when 5 then 'dangling spine' when 6 then 'not UTF-8'
     when 7 then 'missing section' else null end as defect,
-  text
+  replace(text, '. ', ' for $12 at 30 k.p.h. Then ') as text
 from documents"""
 
 RULES = (("the", "THE"), ("THE end", "done"), ("ing", ""), (r"([a-z]+)en", "${1}EN"))

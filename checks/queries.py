@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from checks import inputs
+from checks import epub_pack, inputs
 from lectern.functions import html as H
 from lectern.functions import names
 from lectern.functions.html_tokens import read_pages
 from lectern.functions.normalize import clean_text, money_to_words, speed_to_words
 from lectern.operators import narration, rules, titles
 from lectern.operators.joins import number_within
-from lectern.plans.chapters import chapters_of_archives, chapters_of_tables
+from lectern.plans.chapters import chapters_of_archives, chapters_of_tables, observed
 from lectern.session import read_spread, scratch_folder
-from lectern.sources import epub, epub_pack
+from lectern.sources import epub, outputs
 from lectern.streaming import books as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("documents", "labels", "orders", "pages", "part")
 # Number blocks: chapters are numbered in blocks of this many consecutive ids.
-BLOCK = 4096
+BLOCK = 64
 
 
 def read(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
@@ -177,14 +177,23 @@ def title_sources(spark, sf_dir):
     return titles.considered_titles(title_candidates(spark, sf_dir))
 
 
+def page_titles(spark, sf_dir):
+    """The titles of the pages themselves; the contents list has no part in the report."""
+    rows = pages(spark, sf_dir).select("book_id", "page_id", "html")
+    found = H.extract_page(rows, "html", title_tag="title_tag", section_title="section_tag")
+    sources = ("title_tag", "section_tag")
+    long = found.unpivot(["book_id", "page_id"], list(sources), "source", "title")
+    return titles.considered_titles(long)
+
+
 def title_uniform(spark, sf_dir):
     return titles.uniform_titles(
-        page_books(spark, sf_dir), title_sources(spark, sf_dir), "title_tag"
+        page_books(spark, sf_dir), page_titles(spark, sf_dir), "title_tag"
     )
 
 
 def title_report(spark, sf_dir):
-    return titles.title_report(page_books(spark, sf_dir), title_sources(spark, sf_dir))
+    return titles.title_report(page_books(spark, sf_dir), page_titles(spark, sf_dir))
 
 
 # --- chapter table -----------------------------------------------------------
@@ -228,6 +237,62 @@ def epub_rejects(spark, sf_dir):
     return epub.rejects(epub.unpack(archives(spark, sf_dir, defects=True)))
 
 
+def archive_files(spark, sf_dir, defects: bool = False, nested: bool = False):
+    """The archives written as files to the shared folder; gives the folder.
+
+    ``nested``: in folders of several depths, with endings in both cases.
+    """
+    folder = scratch_folder(spark, "archives")
+    root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    place = F.when(number % 3 == 0, "").when(number % 3 == 1, "sub/").otherwise("sub/More/")
+    name = F.when(number % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit(".epub"), F.lit(".EPUB")))
+    path = F.concat(F.lit(f"{root}/"), place, name) if nested else F.concat(F.lit(f"{root}/"), "path")
+    files = archives(spark, sf_dir, defects).select(
+        path.alias("path"), "content", F.lit(None).cast("string").alias("error")
+    )
+    outputs.write_files(files).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def below(folder: str, path: str):
+    """The part of a path below the folder."""
+    return F.substring_index(F.col(path), folder.rpartition("/")[2] + "/", -1)
+
+
+def epub_files(spark, sf_dir):
+    """Every archive file, found by path, is in the chapters or in the rejects."""
+    folder = archive_files(spark, sf_dir, defects=True, nested=True)
+    files, unread = epub.read_files(spark, folder)
+    unpacked = epub.ingest(files, scratch_folder(spark, "unpacked"))
+    chapters = epub.chapters(unpacked).groupBy(F.col("book_id").alias("path")).agg(
+        F.count(F.lit(1)).alias("chapters")
+    )
+    rejected = epub.rejects(unpacked).unionByName(unread)
+    return chapters.join(rejected, "path", "full").select(
+        below(folder, "path").alias("file"), F.coalesce("chapters", F.lit(0)).alias("chapters"), "reason"
+    )
+
+
+def output_tree(spark, sf_dir):
+    """The file tree of all chapters, written and read back; without the raw HTML."""
+    folder = scratch_folder(spark, "tree")
+    root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    chapters = chapters_of_archives(epub.ingest(archives(spark, sf_dir, defects=True), scratch_folder(spark, "unpacked")))
+    files = outputs.chapter_files(chapters, F.concat(F.lit(f"{root}/"), "book_id"))
+    outputs.write_files(files.filter(~F.contains("path", F.lit("/HTML/")))).write.format("noop").mode("overwrite").save()
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return tree.select(below(folder, "path").alias("file"), F.decode("content", "UTF-8").alias("content"))
+
+
+def progress(spark, sf_dir):
+    """The progress figures of a run, observed while the chapter table is written."""
+    watch = Observation("progress")
+    chapters = observed(chapters_of_archives(epub.unpack(archives(spark, sf_dir))), watch)
+    chapters.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([watch.get], "chapters long, titles_from_toc long, text_bytes long")
+
+
 def epub_books(spark, sf_dir):
     return epub.books(epub.unpack(archives(spark, sf_dir)))
 
@@ -281,11 +346,11 @@ def stream_pages(spark, sf_dir):
 
 
 def stream_epub(spark, sf_dir):
-    out = scratch_folder(spark, "stream-epub")
-    archives(spark, sf_dir).write.parquet(f"{out}/archives")
-    source = streams.packed_stream(spark, f"{out}/archives")
-    streams.convert_archives(source, f"{out}/chapters", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/chapters").select(
+    inbox, out = archive_files(spark, sf_dir), scratch_folder(spark, "stream-epub")
+    source = streams.file_stream(spark, inbox)
+    streams.ingest_archives(source, f"{out}/unpacked", f"{out}/checkpoint").awaitTermination()
+    chapters = chapters_of_archives(streams.unpacked_table(spark, f"{out}/unpacked"))
+    return chapters.withColumn("book_id", below(inbox, "book_id")).select(
         "book_id", "chapter_number", "filename", "original_text", "text"
     )
 
@@ -318,6 +383,9 @@ QUERIES: dict[str, Query] = {
     "title_report": title_report,
     "epub_roundtrip": epub_roundtrip,
     "epub_rejects": epub_rejects,
+    "epub_files": epub_files,
+    "output_tree": output_tree,
+    "progress": progress,
     "book_env": book_env,
     "cover_name": cover_name,
     "narration_select": narration_select,

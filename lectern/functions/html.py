@@ -156,9 +156,12 @@ def strip_markup(body: Column) -> Column:
 
 
 def _decode_number(digits: Column) -> Column:
+    """The character of a number of any length: leading zeros go first."""
     is_hex = digits.startswith("x") | digits.startswith("X")
-    as_hex = F.when(is_hex, F.substring(digits, 2, 16)).otherwise(F.conv(digits, 10, 16))
-    return F.decode(F.unhex(F.lpad(F.ltrim(as_hex, F.lit("0")), 8, "0")), "UTF-32")
+    zero = F.lit("0")
+    hex_digits = F.ltrim(F.substring(digits, F.lit(2), F.length(digits)), zero)
+    as_hex = F.when(is_hex, hex_digits).otherwise(F.conv(F.ltrim(digits, zero), 10, 16))
+    return F.decode(F.unhex(F.lpad(as_hex, 8, "0")), "UTF-32")
 
 
 def decode_references(text: Column) -> Column:
@@ -171,7 +174,7 @@ def decode_references(text: Column) -> Column:
 
     def decode(piece: Column, index: Column) -> Column:
         name = F.substring_index(piece, ";", 1)
-        char = F.when(name.startswith("#"), _decode_number(F.substring(name, 2, 16))).otherwise(
+        char = F.when(name.startswith("#"), _decode_number(F.substring(name, F.lit(2), F.length(name)))).otherwise(
             F.try_element_at(chars, name)
         )
         rest = F.substring(piece, F.length(name) + 2, F.length(piece))

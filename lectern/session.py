@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A split holds at most spark.sql.files.maxPartitionBytes, 128 MB unless set.
+SMALL_SPLITS = 2
 SETTINGS = {
     # Re-plan at run time: coalesce small partitions, split skewed ones.
     "spark.sql.adaptive.enabled": "true",
@@ -27,21 +30,26 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one of the session.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where
-    that is unset, as on a single machine, a temporary folder is used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``.  Where that is
+    unset a temporary folder will do on a single machine; on a cluster every
+    executor would write to its own disk, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="lectern-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="lectern-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table for row-by-row text work on all cores.
 
-    A table with fewer splits than the session has cores, as a small one in a
-    single row group, is dealt out to all of them.  A large table has more
-    splits than that and is read as it lies, without a shuffle.
+    Only a table of at most ``SMALL_SPLITS`` splits, a few hundred megabytes, is
+    dealt out to all cores.  Any other table is read as it lies, without a
+    shuffle, however many cores there are.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+    splits, cores = table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if splits < min(cores, SMALL_SPLITS + 1) else table

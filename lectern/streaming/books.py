@@ -3,6 +3,10 @@
 All steps work row by row, so the streams keep no state and need no watermark:
 the checkpoint remembers which files were read.  A file is taken once per path;
 a book written again under the same path is not converted again.
+
+``ingest_archives`` opens every archive once and appends what it holds to one
+table; chapters, books, contents and rejects are the same views of that table as
+in a batch run.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +22,8 @@ from lectern.functions.rule_dialect import Rule
 from lectern.plans.chapters import chapters_of_archives, with_texts
 from lectern.sources import epub
 
+# Files of one micro-batch, so that the first one is not the whole collection.
+FILES_PER_BATCH = 10_000
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -25,9 +32,6 @@ BINARY_FILE = T.StructType(
         T.StructField("content", T.BinaryType()),
     ]
 )
-PACKED = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())]
-)
 PAGES = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -37,20 +41,16 @@ PAGES = T.StructType(
 )
 
 
-def file_stream(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
-    """New files below ``folder``; pass through ``epub.readable`` or ``epub.oversized``."""
+def file_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """New archives in ``folder`` and all folders below it, a bounded number at a time."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
-    return reader.option("pathGlobFilter", glob).load(folder)
+    reader = reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return reader.load(folder).filter(epub.is_archive(F.col("path"), []))
 
 
-def archive_stream(spark: SparkSession, folder: str, glob: str = "*.epub") -> DataFrame:
+def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New archives below ``folder`` as ``(path, content)`` rows."""
-    return epub.readable(file_stream(spark, folder, glob))
-
-
-def packed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New Parquet files with archives as ``(path, content)`` rows."""
-    return spark.readStream.schema(PACKED).parquet(folder)
+    return epub.readable(file_stream(spark, folder))
 
 
 def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
@@ -75,10 +75,19 @@ def convert_archives(
     return _sink(chapters_of_archives(epub.unpack(archives), rules), folder, checkpoint)
 
 
-def collect_rejects(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write the reject rows of all files that have arrived (see ``file_stream``)."""
-    unreadable = epub.rejects(epub.unpack(epub.readable(files)))
-    return _sink(unreadable.unionByName(epub.oversized(files)), folder, checkpoint)
+def ingest_archives(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append all archives that have arrived to the unpacked table in ``folder``.
+
+    Each archive is opened once; see ``epub.books``, ``epub.chapters`` and
+    ``epub.rejects`` for what is read off the table (``unpacked_table``).
+    """
+    unpacked = epub.unpack(epub.readable(files))
+    return _sink(unpacked.unionByName(epub.oversized(files), allowMissingColumns=True), folder, checkpoint)
+
+
+def unpacked_table(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``ingest_archives`` has written so far."""
+    return spark.read.schema(epub.UNPACKED).parquet(folder)
 
 
 def convert_pages(

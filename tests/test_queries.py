@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__ as registered
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = registered.queries(), registered.oracle_sql()
+# The corpus operators have their own tests; their subpackage may be absent.
+QUERIES = {name: query for name, query in registered.queries().items() if name in registered.QUERIES}
+ORACLE = {name: sql for name, sql in registered.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
