@@ -37,7 +37,7 @@ from lectern.llm.common import slices, texts_of, written
 LENGTH = 100
 GRAM = 32
 # Segments of one anchor up to which they are compared in one index.
-HOT = 4096
+HOT = 1024
 # Text that goes into one index.
 INDEX_BYTES = 1 << 18
 # Anchors a task gathers before it reduces equal segments.
