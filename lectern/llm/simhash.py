@@ -36,6 +36,8 @@ DISTANCE = 3
 SLACK = 1.5
 # Rows that meet in one comparison.
 CHUNK = 1024
+# Rows of these that are compared at once, which bounds the working memory.
+STRIP = 128
 # Reference fingerprints of the pivot table: fixed bit patterns.
 PIVOTS = 16
 
@@ -121,15 +123,18 @@ def links_among(left: np.ndarray, right: np.ndarray, references: np.ndarray, dis
     """
     apart = lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
     table = [apart(side[:, None], references[None, :]) for side in (left, right)]
-    i, j = np.nonzero(np.abs(table[0][:, None, 0] - table[1][None, :, 0]) <= distance)
-    for p in range(1, len(references)):
-        if len(i) < 64:
-            break
-        kept = np.abs(table[0][i, p] - table[1][j, p]) <= distance
-        i, j = i[kept], j[kept]
-    kept = apart(left[i], right[j]) <= distance
     out = np.zeros((len(left), len(right)), bool)
-    out[i[kept], j[kept]] = True
+    for low in range(0, len(left), STRIP):
+        strip = slice(low, low + STRIP)
+        i, j = np.nonzero(np.abs(table[0][strip, None, 0] - table[1][None, :, 0]) <= distance)
+        i += low
+        for p in range(1, len(references)):
+            if len(i) < 64:
+                break
+            kept = np.abs(table[0][i, p] - table[1][j, p]) <= distance
+            i, j = i[kept], j[kept]
+        kept = apart(left[i], right[j]) <= distance
+        out[i[kept], j[kept]] = True
     return out
 
 

@@ -374,8 +374,9 @@ def _by_document(docs: DataFrame, rows: DataFrame, extra: dict[str, str]) -> Dat
     return texts.unionByName(about).repartition("d", "sub").sortWithinPartitions("d", "sub", "side", "start")
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
-    for batch in batches:
+def _rows_of(batches: Iterator[pa.RecordBatch], names: list[str], wide: str = "text") -> Iterator[tuple]:
+    """Rows as tuples; ``wide`` is the column that holds most of the bytes."""
+    for batch in slices(batches, wide, SLICE_BYTES):
         yield from zip(*(batch.column(n).to_pylist() for n in names))
 
 
@@ -440,7 +441,7 @@ def _indexed(found: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, out, last = [], 0, [], None
         names = ["key", "hot", "bytes", "d", "sub", "start"]
-        for row in _rows_of(batches, names):
+        for row in _rows_of(batches, names, "bytes"):
             key, hot, raw, d, sub, start = row
             if hot:  # sorted by digest, then corpus order
                 if raw is None or (key, raw) == last:
