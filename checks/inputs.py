@@ -33,15 +33,17 @@ select p_partkey, concat('ran ', cast(p_size as varchar(20)), case p_partkey % 8
 from part"""
 
 # Documents as chapters: one book per source.
-SPINE = """
+FOLDER = "case doc_id % 3 when 0 then '' when 1 then 'text/' else 'OEBPS/part/' end"
+SPINE = f"""
 select source as book_id, doc_id, concat('d', cast(doc_id as varchar(20))) as idref,
-  concat(cast(doc_id as varchar(20)), '.xhtml') as path
+  concat({FOLDER}, cast(doc_id as varchar(20)), '.xhtml') as path
 from documents"""
 
-TOC = """
+TOC = f"""
 select d.source as book_id, l.doc_id as pos,
-  concat('OEBPS/', cast(l.doc_id as varchar(20)), '.xhtml#a') as content,
+  concat('../', {FOLDER.replace("doc_id", "l.doc_id")}, cast(l.doc_id as varchar(20)), '.xhtml#a') as content,
   case l.doc_id % 4 when 0 then 'Ⅰ' when 1 then 'ab'
+  when 2 then concat('Part ', cast(l.doc_id as varchar(20)), ': end', chr(10))
   else concat('Chapter ', cast(l.doc_id as varchar(20)), ': q', cast(l.quality as varchar(20))) end
   as label
 from labels l join documents d on l.doc_id = d.doc_id"""

@@ -312,28 +312,37 @@ def cover_name(spark, sf_dir):
 
 
 # --- narration ---------------------------------------------------------------
-def selected_chapters(spark, sf_dir):
-    chapters = named_chapters(spark, sf_dir)
-    excluded = read(spark, sf_dir, inputs.EXCLUDED).join(
-        chapter_number(spark, sf_dir), ["book_id", "doc_id"]
+def chapter_names(spark, sf_dir):
+    """The narrow table of chapters and names, written once for all that uses it."""
+    names = named_chapters(spark, sf_dir).select(
+        "book_id", "doc_id", "chapter_number", "resolved_title", "filename"
+    )
+    folder = scratch_folder(spark, "names")
+    names.write.parquet(folder)
+    return spark.read.schema(names.schema).parquet(folder)
+
+
+def selected_chapters(spark, sf_dir, chapters):
+    return narration.select_for_narration(
+        chapters, inputs.SKIPPED_TITLES, read(spark, sf_dir, inputs.EXCLUDED)
     )
-    return narration.select_for_narration(chapters, inputs.SKIPPED_TITLES, excluded)
 
 
 def narration_select(spark, sf_dir):
-    return selected_chapters(spark, sf_dir).select(
+    return selected_chapters(spark, sf_dir, named_chapters(spark, sf_dir)).select(
         "book_id", "chapter_number", "resolved_title", "filename"
     )
 
 
 def audio_tags(spark, sf_dir):
     books = read(spark, sf_dir, inputs.BOOKS)
-    files = selected_chapters(spark, sf_dir).select(
+    chapters = chapter_names(spark, sf_dir)
+    files = selected_chapters(spark, sf_dir, chapters).select(
         "book_id", F.concat("filename", F.lit(".txt.wav")).alias("file")
     )
     strays = F.explode(F.array(*map(F.lit, ("notes.txt", ".hidden.wav", "0000_intro.txt.wav", "zz.wav"))))
     files = files.unionByName(books.select("book_id", strays.alias("file")))
-    return narration.audio_tags(files, named_chapters(spark, sf_dir), books)
+    return narration.audio_tags(files, chapters, books)
 
 
 # --- streams -----------------------------------------------------------------

@@ -16,11 +16,15 @@ BLOCK_PREFIX = 3
 def select_for_narration(
     chapters: DataFrame, skip_titles: str | None = None, excluded: DataFrame | None = None,
 ) -> DataFrame:
-    """Leave out chapters by title pattern and by list (``book_id, chapter_number``)."""
+    """Leave out chapters by title pattern and by list.
+
+    ``excluded`` names chapters by any columns the two tables share, such as
+    ``book_id, chapter_number``.
+    """
     if skip_titles is not None:
         chapters = chapters.filter(~F.rlike("resolved_title", F.lit(skip_titles)))
     if excluded is not None:
-        chapters = chapters.join(excluded, ["book_id", "chapter_number"], "left_anti")
+        chapters = chapters.join(excluded, excluded.columns, "left_anti")
     return chapters
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import names
@@ -12,62 +12,44 @@ from lectern.operators.joins import join_per_key
 SOURCES = ("toc", "title_tag", "section_tag")
 
 
-def first_toc_label(path: Column, toc: Column) -> Column:
-    """Label of the first entry of a book's ``toc`` array that contains ``path``.
-
-    For use where the array is already on the row: no shuffle.
-    """
-    hits = F.filter(toc, lambda entry: F.contains(entry["content"], path))
-    return F.coalesce(F.get(hits, F.lit(0))["label"], F.lit(""))
-
-
 def _needles(paths: DataFrame, toc: DataFrame) -> DataFrame:
     """Every part of each TOC content that may be a path of its book.
 
     A content contains a path exactly if the path is one of its parts, so the
-    substring join becomes an equality join.  A part can only be a path if its
-    length lies between the shortest and the longest path of the book and the
-    part itself between the first and the last one, read forwards and backwards.
-    As the paths of a book share a folder and an extension, few parts pass;
-    their number depends on the content alone, never on how many chapters the
-    book has.
+    substring join becomes an equality join.  A part can begin where the content
+    reads like the head of a path: as many characters as the shortest path of the
+    book has.  Places are matched to the heads of the book by an equality join,
+    and only where a head begins are parts cut, one for each length that paths of
+    the book have.  The work depends on the lengths of the contents, not on how
+    many chapters the book has or which folders they are in.
     """
     path = F.col("path")
     bounds = paths.groupBy("book_id").agg(
         F.min(F.length(path)).alias("short"),
-        F.max(F.length(path)).alias("long"),
+        F.collect_set(F.length(path)).alias("lengths"),  # no more than the longest path has characters
         F.min(path).alias("low"),
         F.max(path).alias("high"),
-        F.min(F.reverse(path)).alias("back_low"),
-        F.max(F.reverse(path)).alias("back_high"),
     )
+    heads = join_per_key(
+        paths.select("book_id", "path"), bounds.select("book_id", "short"), "book_id", path, "inner"
+    ).select("book_id", F.substring(path, F.lit(1), F.col("short")).alias("head"))
     bounded = join_per_key(toc, bounds, "book_id", F.col("pos"), "inner")
-    content, short, long = F.col("content"), F.col("short"), F.col("long")
+    content, short = F.col("content"), F.col("short")
     size = F.length(content)
-    # A path that starts here is at most the rest of the content, and at least
-    # its own first ``short`` characters.
     starts = F.filter(
         F.sequence(F.lit(1), size - short + 1),
         lambda at: (F.substring(content, at, size) >= F.col("low"))
         & (F.substring(content, at, short) <= F.col("high")),
     )
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda at: F.transform(
-                F.sequence(short, F.least(long, size - at + 1)),
-                lambda length: F.substring(content, at, length),
-            ),
-        )
-    )
-    possible = F.filter(
-        parts,
-        lambda part: part.between(F.col("low"), F.col("high"))
-        & F.reverse(part).between(F.col("back_low"), F.col("back_high")),
-    )
-    return bounded.filter(size >= short).select(
-        "book_id", "pos", "label", F.explode(possible).alias("path")
+    places = bounded.filter(size >= short).select(
+        "book_id", "pos", "label", "content", "lengths", "short", F.explode(starts).alias("at")
     )
+    places = places.withColumn("head", F.substring(content, F.col("at"), short))
+    begun = places.join(heads.distinct(), ["book_id", "head"], "left_semi")
+    fitting = F.filter("lengths", lambda length: F.col("at") + length - 1 <= size)
+    return begun.select(
+        "book_id", "pos", "label", "content", "at", F.explode(fitting).alias("length")
+    ).select("book_id", "pos", "label", F.substring(content, F.col("at"), F.col("length")).alias("path"))
 
 
 def match_toc(spine: DataFrame, toc: DataFrame, paths: DataFrame | None = None) -> DataFrame:
