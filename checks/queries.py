@@ -21,8 +21,6 @@ from lectern.streaming import books as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("documents", "labels", "orders", "pages", "part")
-# Number blocks: chapters are numbered in blocks of this many consecutive ids.
-BLOCK = 64
 
 
 def read(spark: SparkSession, sf_dir: str, sql: str, spread: bool = False) -> DataFrame:
@@ -115,8 +113,7 @@ def toc_match(spark, sf_dir):
 
 def chapter_number(spark, sf_dir):
     spine = read(spark, sf_dir, inputs.SPINE).select("book_id", "doc_id", "idref", "path")
-    block = F.floor(F.col("doc_id") / BLOCK)
-    return number_within(spine, "book_id", "doc_id", block, "chapter_number")
+    return number_within(spine, "book_id", "doc_id", "chapter_number")
 
 
 def named_chapters(spark, sf_dir):
@@ -167,8 +164,8 @@ def title_candidates(spark, sf_dir):
         pages(spark, sf_dir).select("page_id", "html"), "html",
         title_tag="title_tag", section_title="section_title",
     ).drop("html")
-    spine, block = page_spine(spark, sf_dir), F.floor(F.col("page_id") / BLOCK)
-    numbered = number_within(spine, "book_id", "page_id", block, "chapter_number")
+    spine = page_spine(spark, sf_dir)
+    numbered = number_within(spine, "book_id", "page_id", "chapter_number")
     matched = titles.match_toc(numbered, read(spark, sf_dir, inputs.PAGE_TOC), paths=spine)
     return titles.title_candidates(matched.join(found, "page_id"))
 
@@ -203,7 +200,6 @@ def chapters_table(spark, sf_dir):
         page_spine(spark, sf_dir),
         read(spark, sf_dir, inputs.PAGE_TOC),
         pages(spark, sf_dir).select("page_id", "html"),
-        F.floor(F.col("page_id") / BLOCK),
         compiled,
     )
     return chapters.select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import scratch_folder
+
 SPREAD = 16
 _SALT = "__salt"
 
@@ -24,30 +26,31 @@ def join_per_key(
     return salted.join(per_key.withColumn(_SALT, parts), [key, _SALT], how).drop(_SALT)
 
 
-def number_within(
-    rows: DataFrame, group: str, order: str, block: Column, number: str,
-) -> DataFrame:
+def number_within(rows: DataFrame, group: str, order: str, number: str) -> DataFrame:
     """Add ``number``: the 1-based position of each row in its group.
 
-    ``group`` is never null and ``block`` never decreases along ``order``.
-    Rows are numbered inside each (group, block) and moved up by the size of the
-    blocks before it, so no task sorts a whole group.  Only the block sizes of a
-    group meet in one task.
+    Rows are dealt out by ranges of (group, order) taken from the data, so a large
+    group lies in many tasks, whatever its keys look like.  Each row gets its place
+    in its range; what comes before it in the group is known from the first place
+    and the size of the group in each range, a table of about one row per group.
+    The ranged rows are written to the shared folder, so that places are counted
+    once.  Rows of one group and order are numbered in any order.
     """
-    blocked = rows.withColumn("__block", block)
-    sizes = blocked.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__size"))
-    earlier = (
-        Window.partitionBy(group)
-        .orderBy("__block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        group, "__block", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset")
+    ranged = rows.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    placed = ranged.withColumn("__id", F.monotonically_increasing_id())
+    folder = scratch_folder(rows.sparkSession, "numbered")
+    placed.write.parquet(folder)
+    # The upper bits of the id are the number of the range, the lower ones the place.
+    table = rows.sparkSession.read.schema(placed.schema).parquet(folder)
+    table = table.withColumn("__range", F.shiftright("__id", 33))
+    parts = table.groupBy(group, "__range").agg(
+        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__size")
     )
-    inside = Window.partitionBy(group, "__block").orderBy(order)
-    return (
-        blocked.withColumn("__rank", F.row_number().over(inside))
-        .join(offsets, [group, "__block"], "left")
-        .withColumn(number, F.col("__offset") + F.col("__rank"))
-        .drop("__block", "__rank", "__offset")
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
+    shifts = parts.select(
+        F.col(group).alias("__group"), F.col("__range").alias("__part"), (before - F.col("__first") + 1).alias("__shift")
     )
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__part"))
+    numbered = table.join(shifts, same).withColumn(number, F.col("__id") + F.col("__shift"))
+    return numbered.select(*rows.columns, number)

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns as P
 from lectern.operators.joins import join_per_key, number_within
 
-# Audio names start with the chapter number, so three characters split a book
-# of any size into up to a thousand blocks and a normal one into a few.
-BLOCK_PREFIX = 3
-
 
 def select_for_narration(
     chapters: DataFrame, skip_titles: str | None = None, excluded: DataFrame | None = None,
@@ -36,8 +32,7 @@ def audio_stem(file: Column) -> Column:
 def number_tracks(audio_files: DataFrame) -> DataFrame:
     """Number the ``*.wav`` files of each book in file-name order, without gaps."""
     return number_within(
-        audio_files.filter(F.rlike("file", F.lit(P.AUDIO_FILE))),
-        "book_id", "file", F.substring("file", 1, BLOCK_PREFIX), "track",
+        audio_files.filter(F.rlike("file", F.lit(P.AUDIO_FILE))), "book_id", "file", "track"
     )
 
 

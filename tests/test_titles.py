@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import joins, titles
@@ -41,11 +42,13 @@ def test_toc_match_plan_has_no_pairing_of_a_books_rows(spark):
     assert "Contains" not in plan and "Cross" not in plan
 
 
-def test_numbering_equals_one_window(spark):
+@pytest.mark.parametrize("order", ["id", "id * 7919 % 3001", "xxhash64(id)", "concat('track', lpad(id, 9, '0'))"])
+def test_numbering_equals_one_window(spark, order):
+    """Dense, shuffled and hashed ids, and names that share a long beginning."""
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 7)).alias("book_id"),
-        (F.col("id") * 7919 % 3001).alias("pos"))
-    found = joins.number_within(rows, "book_id", "pos", F.floor(F.col("pos") / 100), "n").collect()
+        F.expr(order).alias("pos"))
+    found = joins.number_within(rows, "book_id", "pos", "n").collect()
     groups = {}
     for r in found:
         groups.setdefault(r.book_id, []).append((r.pos, r.n))
