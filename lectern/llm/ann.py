@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import sample_of, written
 from lectern.llm.itq import usable
 
 NEIGHBOURS = 20
@@ -180,7 +180,7 @@ def search(
     if common is None:
         return spark.createDataFrame([], schema)
     able = able.filter(F.size("v") == common.width)
-    sample = able.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
+    sample = sample_of(able, "vec_id", SAMPLE_ROWS, common.n).toPandas()
     sample = np.array(sample["v"].tolist(), float).reshape(-1, common.width)
     hashes = fit(sample, common.n, common.norm, k, recall)
     functions = hashes.shifts.shape[1]

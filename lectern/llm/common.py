@@ -9,6 +9,7 @@ from functools import wraps
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.session import scratch_folder
 
@@ -32,6 +33,19 @@ def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
 
+def sample_of(frame: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most ``rows`` rows of ``frame``, which has about ``total``: those of smallest hash.
+
+    Hashes above the share that is wanted, with a margin, are left out first, so
+    the tasks together send about ``rows`` rows to the driver, however many they are.
+    """
+    share = min(1.0, (1.1 * rows + 1000) / max(total, 1))
+    hashed = F.xxhash64(key)
+    if share < 1:
+        frame = frame.filter(F.pmod(hashed, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return frame.orderBy(F.pmod(hashed, F.lit(1 << 40)), *frame.columns).limit(rows)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import sample_of, written
 from lectern.llm.components import components, forest
 
 COSINE = 0.93
@@ -194,9 +194,10 @@ def near_duplicates(
         able.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")),
         "vectors",
     )
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    largest, total = labels.agg(F.max("n"), F.sum("n")).first()
     bits, tables = table_plan(largest, width, cosine)
-    sample = classes.orderBy(F.xxhash64("first"), "first").limit(sample_rows).select("vector").toPandas()
+    sample = sample_of(classes, "first", sample_rows, total).select("vector").toPandas()
     sample = _unit(np.array(sample["vector"].tolist(), float).reshape(-1, width))
     per = max(width // bits, 1)
     rotations = [learn_rotation(sample, seed) for seed in range(-(-tables // per))]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, texts_of, written
+from lectern.llm.common import sample_of, slices, texts_of, written
 
 # Bound on the labelled rows the trees are grown on: those of smallest hash.
 SAMPLE_ROWS = 20_000
@@ -190,13 +190,8 @@ def train(statistics_table: DataFrame, labels: DataFrame, sample_rows: int = SAM
     known = labels.select("doc_id", "quality").filter(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    sample = (
-        statistics_table.join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-        .limit(sample_rows)
-        .select("x", "quality")
-        .toPandas()
-    )
+    joined = statistics_table.join(known, "doc_id")
+    sample = sample_of(joined, "doc_id", sample_rows, known.count()).select("x", "quality").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(-1, len(STATISTICS))
     return grow(x, sample["quality"].to_numpy(float))
 
