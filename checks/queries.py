@@ -290,7 +290,7 @@ def progress(spark, sf_dir):
 
 
 def epub_books(spark, sf_dir):
-    return epub.books(epub.unpack(archives(spark, sf_dir)))
+    return epub.books(epub.unpack(archives(spark, sf_dir), sections=False))
 
 
 def book_env(spark, sf_dir):

@@ -122,7 +122,7 @@ _FIRST_SECTION = (
 _OTHER_ATTRIBUTE = rf"(?!title[{_WS}=/>]){_ATTRIBUTE}"
 SECTION_TITLE = (
     rf"{_FIRST_SECTION}<section(?:[{_WS}/]++|{_OTHER_ATTRIBUTE})*+"
-    rf"title[{_WS}]*+=[{_WS}]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^{_WS}\"'>][^{_WS}>]*+))"
+    rf"title[{_WS}]*+=[{_WS}]*+(\"[^\"]*+\"|'[^']*+'|[^{_WS}\"'>][^{_WS}>]*+)"
     rf"{_ATTRIBUTES}>"
 )
 
@@ -189,10 +189,10 @@ def _raw_title_tag(page: Column) -> Column:
 
 
 def _raw_section_title(page: Column) -> Column:
-    values = [F.regexp_extract(page, SECTION_TITLE, i) for i in (1, 2, 3)]
-    return F.when(F.rlike(page, F.lit("(?i)<section")), F.concat(*values)).when(
-        page.isNotNull(), ""
-    )
+    value = F.regexp_extract(page, SECTION_TITLE, 1)
+    quoted = value.startswith('"') | value.startswith("'")
+    inner = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.when(F.rlike(page, F.lit("(?i)<section")), inner).when(page.isNotNull(), "")
 
 
 def native_body_text(html: Column) -> Column:
