@@ -238,3 +238,23 @@ def near_duplicates(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     )
+
+
+# The same for DuckDB, pair by pair.
+SQL = f"""
+with recursive
+vectors as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+    where label is not null and vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b
+    on a.label = b.label and a.vec_id <> b.vec_id and list_dot_product(a.e, b.e)
+    / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {COSINE}),
+reach as (select vec_id as a, vec_id as b from vectors
+    union select r.a, l.b from reach r join links l on r.b = l.a),
+lowest as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, cast(coalesce(n, 0) as bigint) as n_links, coalesce(component_id, e.vec_id) as component_id,
+    e.vec_id = coalesce(component_id, e.vec_id) as kept
+from embeddings e left join lowest r on e.vec_id = r.a left join counts c on e.vec_id = c.a
+"""

@@ -93,4 +93,4 @@ QUERIES: dict[str, Query] = {
     "op10_itq": op10_itq,
 }
 # The others cannot be said in SQL; the tests hold them against brute force.
-ORACLE: dict[str, str] = {"op5_quotes": quotes.SQL}
+ORACLE: dict[str, str] = {"op4_suffix": suffix.SQL, "op5_quotes": quotes.SQL, "op10_itq": itq.SQL}

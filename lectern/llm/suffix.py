@@ -557,3 +557,25 @@ def rewrite(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     return found.select(
         *((value[c] if c in value else F.col(f"row.`{c}`")).alias(c) for c in docs.columns)
     )
+
+
+# The same for DuckDB, window by window; bytes are pairs of hexadecimal digits.
+SQL = f"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+windows as (select doc_id, s, md5(substr(x, 2 * s + 1, {2 * LENGTH})) as g
+    from (select doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) as s from texts) w),
+repeated as (select doc_id, s from
+    (select doc_id, s, row_number() over (partition by g order by doc_id, s) as r from windows) o where r > 1),
+flagged as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + {LENGTH} then 0 else 1 end as new
+    from repeated),
+runs as (select doc_id, s, sum(new) over (partition by doc_id order by s) as run from flagged),
+spans as (select doc_id, min(s) as low, max(s) + {LENGTH} as high from runs group by doc_id, run),
+cuts as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as after from spans),
+pieces as (select c.doc_id, count(*) as n_spans, sum(high - low) as n_removed, max(high) as last,
+    string_agg(substr(x, 2 * after + 1, 2 * (low - after)), '' order by low) as kept
+    from cuts c join texts t on c.doc_id = t.doc_id group by c.doc_id)
+select t.doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+    cast(coalesce(n_spans, 0) as bigint) as n_spans,
+    sha256(unhex(case when p.doc_id is null then x else kept || substr(x, 2 * last + 1) end)) as kept_sha256
+from texts t left join pieces p on t.doc_id = p.doc_id
+"""
