@@ -110,7 +110,7 @@ select concat('book-', cast(doc_id as varchar(20)), '.epub') as path,
   case doc_id % 9 when 1 then 'truncated' when 2 then 'no package' when 3 then 'no title'
     when 4 then 'no creator' when 5 then 'dangling spine' when 6 then 'not UTF-8'
     when 7 then 'missing section' else null end as defect,
-  replace(text, '. ', ' for $12 at 30 k.p.h. Then ') as text
+  replace(text, chr(10), concat(' at 30 k.p.h. for $12', chr(10))) as text
 from documents"""
 
 RULES = (("the", "THE"), ("THE end", "done"), ("ing", ""), (r"([a-z]+)en", "${1}EN"))

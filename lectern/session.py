@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A split holds at most spark.sql.files.maxPartitionBytes, 128 MB unless set.
-SMALL_SPLITS = 2
+# Bytes of files up to which a table is dealt out to all cores.
+SMALL_BYTES = 256 << 20
 SETTINGS = {
     # Re-plan at run time: coalesce small partitions, split skewed ones.
     "spark.sql.adaptive.enabled": "true",
@@ -46,10 +46,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table for row-by-row text work on all cores.
 
-    Only a table of at most ``SMALL_SPLITS`` splits, a few hundred megabytes, is
+    Only a table of at most ``SMALL_BYTES``, which may lie in a single row group, is
     dealt out to all cores.  Any other table is read as it lies, without a
     shuffle, however many cores there are.
     """
     table = spark.read.parquet(path)
-    splits, cores = table.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if splits < min(cores, SMALL_SPLITS + 1) else table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else table
