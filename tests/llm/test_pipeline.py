@@ -92,3 +92,16 @@ def test_stages_on_an_empty_table(spark, nothing):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), f"empty-{name}")
     assert docs.count() == 0
+
+
+def test_near_copy_stage_by_exact_similarity(outputs):
+    rows = [r for r in outputs[1].collect() if r.doc_id is not None]
+    sets = {r.doc_id: set(simhash.shingles(r.text, 5).tolist()) for r in rows}
+    ids = sorted(sets)
+    links = [
+        (a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    ]
+    label = dict(forest(links))
+    kept = sorted(r.doc_id for r in outputs[2].collect() if r.doc_id is not None)
+    assert kept == sorted({label.get(i, i) for i in ids})
