@@ -10,6 +10,8 @@ is learnt from the same sums.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,10 @@ HOST_WEIGHT, CLUE_WEIGHT = 10.0, 1.0
 # A text is rejected if no language reaches this probability.
 LEAST = 0.5
 UNKNOWN = "und"
+# Log probability of a trigram in no known language: all buckets alike.
+UNIFORM = -math.log(BUCKETS)
+# Tokens with digits, as keys and numbers, are of no language.
+_NO_WORD = re.compile(r"(?<!\S)[^\s\d]*+\d\S*+")
 
 
 @dataclass(frozen=True)
@@ -77,30 +83,45 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def text_evidence(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``evidence``: tempered log likelihood per language, best one at 0.
+    """Add ``evidence``, the tempered log likelihood per language with the best one
+    at 0, and ``unknown``, that of the uniform model on the same scale.
 
     The mean over all trigrams of the whole text counts as ``EVIDENCE`` of them,
-    or as many as there are.  Null for texts without a letter.
+    or as many as there are.  Null for texts without a letter.  A text that the
+    uniform model explains better is judged without its tokens that hold digits.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)  # buckets x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value.logs
+
+        def likelihood(value: str) -> tuple[np.ndarray, float]:
+            grams = trigrams(np.frombuffer(f" {value} ".encode(), np.uint8))
+            total = np.bincount(grams, minlength=BUCKETS) @ logs
+            counted = min(1.0, EVIDENCE / len(grams))
+            unknown = (UNIFORM * len(grams) - total.max()) * counted if len(total) else 0.0
+            return total * counted, unknown
+
         for batch in slices(batches, text):
             found: list[list[float] | None] = []
+            unknowns: list[float | None] = []
             for value in texts_of(batch, text):
                 if not any(c.isalpha() for c in value):
                     found.append(None)
+                    unknowns.append(None)
                     continue
-                grams = trigrams(np.frombuffer(f" {value} ".encode(), np.uint8))
-                total = np.bincount(grams, minlength=BUCKETS) @ logs
-                total *= min(1.0, EVIDENCE / len(grams))
+                total, unknown = likelihood(value)
+                if unknown > 0:
+                    words = " ".join(_NO_WORD.sub(" ", value).split())
+                    if any(c.isalpha() for c in words):
+                        _, unknown = likelihood(words)
                 found.append((total - total.max()).tolist() if len(total) else [])
-            column = pa.array(found, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "evidence"])
+                unknowns.append(unknown)
+            columns = [pa.array(found, pa.list_(pa.float64())), pa.array(unknowns, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "evidence", "unknown"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{own}, evidence array<double>")
+    return rows.mapInArrow(run, f"{own}, evidence array<double>, unknown double")
 
 
 def _softmax(logs: Column) -> Column:
@@ -117,7 +138,8 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """Add ``lang, probability`` to rows with ``evidence, host, declared, suffix``.
 
     Null clues are no evidence.  A row without text evidence keeps its clues; if
-    it has none either, the overall shares decide.
+    it has none either, the overall shares decide.  With a column ``of_known``, the
+    chance that the text is in a known language, a row counts by it in the sums.
     """
     count = len(languages)
     each = range(count)
@@ -125,7 +147,10 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     flat = F.array(*[F.lit(1.0 / count) for _ in each])
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     rows = rows.withColumn("text_p", F.coalesce(_softmax(F.col("evidence")), flat))
-    rows = rows.withColumn("seen", F.col("evidence").isNotNull().cast("double"))
+    seen = F.col("evidence").isNotNull().cast("double")
+    if "of_known" in rows.columns:
+        seen = seen * F.coalesce("of_known", F.lit(0.0))
+    rows = rows.withColumn("seen", seen)
     rows = rows.withColumn("domain", F.when(domain != "", domain).otherwise(F.col("host")))
     rows = written(rows, "evidence")
 
@@ -174,14 +199,48 @@ def fuse(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return joined.withColumn("lang", F.get(names, best - 1)).withColumn("probability", F.array_max("posterior"))
 
 
+def _sigmoid(logs: Column) -> Column:
+    return 1 / (1 + F.exp(-logs))
+
+
+def weigh_unknown(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """Add ``of_known`` and ``known`` to rows with ``unknown`` and ``declared``.
+
+    ``of_known`` is the chance by the text alone that it is in a known language;
+    ``known`` adds the share of such texts in the whole table and among the other
+    rows that declare the same language.  Declared languages outside the model
+    that other rows do not settle are counted once as unknown.
+    """
+    rows = rows.withColumn("of_known", _sigmoid(-F.col("unknown")))
+    rows = written(rows, "text-evidence")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.col("of_known"), 1 - F.col("of_known"))]
+    known, unknown = rows.agg(*sums).first()
+    odds = (known + 1.0) / (unknown + 1.0)
+    share = odds / (1 + odds)
+    by_clue = rows.filter("declared is not null").groupBy("declared").agg(
+        sums[0].alias("clue_known"), sums[1].alias("clue_unknown")
+    )
+    joined = rows.join(written(by_clue, "declared-known"), "declared", "left")
+    zero, own = F.lit(0.0), F.coalesce("of_known", F.lit(0.0))
+    modelled = F.col("declared").isin(*languages)
+    others_known = F.greatest(F.col("clue_known") - own, zero) + CLUE_WEIGHT * share
+    others_unknown = F.greatest(F.col("clue_unknown") - (1 - own), zero) + CLUE_WEIGHT * (1 - share)
+    others_unknown = others_unknown + F.when(modelled, zero).otherwise(CLUE_WEIGHT)
+    clue = F.coalesce(F.log(others_known / others_unknown) - math.log(odds), zero)
+    return joined.withColumn("known", _sigmoid(math.log(odds) + clue - F.col("unknown"))).drop(
+        "clue_known", "clue_unknown"
+    )
+
+
 def identify(
     rows: DataFrame, key: str, model: Model, text: Column, host: Column | None = None,
     declared: Column | None = None, suffix: Column | None = None, least: float = LEAST,
 ) -> DataFrame:
     """``key, lang, probability, text_lang, declared, host, rejected`` per row.
 
-    ``rejected`` if the text has no letter or no language reaches ``least``; the
-    language is then ``und``.  Null and empty texts are rejected.  Repeated or
+    ``rejected`` if the text has no letter or no language reaches ``least``, where
+    a text in no known language is one of the cases; the language is then ``und``.
+    ``text_lang`` is null where the uniform model explains the text better.  Null and empty texts are rejected.  Repeated or
     null keys get a row each.  Without languages in the model all is rejected.
     """
     none = F.lit(None).cast("string")
@@ -196,10 +255,11 @@ def identify(
             key, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"),
             "declared", "host", F.lit(True).alias("rejected"),
         )
-    fused = fuse(scored, model.languages)
+    fused = fuse(weigh_unknown(scored, model.languages), model.languages)
+    fused = fused.withColumn("probability", F.col("probability") * F.coalesce("known", F.lit(1.0)))
     names = F.array(*map(F.lit, model.languages))
     at = F.array_position("evidence", F.array_max("evidence")).cast("int") - 1
-    of_text = F.when(F.col("evidence").isNotNull(), F.get(names, at))
+    of_text = F.when(F.col("evidence").isNotNull() & (F.col("unknown") <= 0), F.get(names, at))
     rejected = F.col("evidence").isNull() | (F.col("probability") < least)
     return fused.select(
         key, F.when(rejected, F.lit(UNKNOWN)).otherwise(F.col("lang")).alias("lang"), "probability",
