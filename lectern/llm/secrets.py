@@ -4,14 +4,15 @@ Three base kinds are found by pattern.  On top, every maximal run of base64 or
 hexadecimal characters is a candidate: a window slides over it, the Shannon
 entropy of the window is kept up to date from the counts of the one character
 that enters and the one that leaves, and windows at or above the threshold of
-the character class are joined into spans.  Spans an allow-list explains are
-suppressed; base spans never are.
+the character class are joined into spans.  Windows that touch what an allow-list
+explains do not count; base spans never are suppressed.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,15 @@ ALLOWED = re.compile(
     r"|(?i:example|placeholder|changeme|dummy|sample|xxxx)"
     r"|abcdefghij|ABCDEFGHIJ|0123456789"
 )
-URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)\S*\Z")
+# A placeholder explains the part of a path or assignment it lies in, up to this length;
+# in a longer one, as a block of base64, it explains itself alone.
+PART = re.compile(r"[^/=]+")
+PART_MOST = 64
+# Host and path of an address, after what it holds for a user name and a password.
+# Quotes, commas, brackets and the query end it.
+URL = re.compile(
+    r"""(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://(?:[^\s/?#"'@]*@)?|(?=www\.))([^\s"'`,;|<>()\[\]{}\\?#]+)"""
+)
 
 
 @dataclass(frozen=True)
@@ -94,6 +103,33 @@ def _mixed(part: str) -> bool:
     return digits > 0 and (upper and lower or digits >= 3 and (upper or lower))
 
 
+def _random(run: str) -> list[tuple[str, int, int]]:
+    """The entropy spans of a run, whatever the allow-list says."""
+    added = [
+        (BASE16.kind, x.start() + a, x.start() + b)
+        for x in HEX_RUN.finditer(run)
+        for a, b in entropy_spans(x[0].lower(), BASE16.window, BASE16.bits)
+        if any(c.isalpha() for c in x[0][a:b])
+    ]
+    return added + [
+        (BASE64.kind, a, b) for a, b in entropy_spans(run, BASE64.window, BASE64.bits) if _mixed(run[a:b])
+    ]
+
+
+def _unexplained(run: str) -> list[tuple[int, int]]:
+    """What the allow-list leaves of a run."""
+    explained = [m.span() for m in ALLOWED.finditer(run)]
+    for part in PART.finditer(run):
+        if part.end() - part.start() <= PART_MOST and ALLOWED.search(part[0]):
+            explained.append(part.span())
+    rest, last = [], 0
+    for low, high in sorted(explained):
+        if low > last:
+            rest.append((last, low))
+        last = max(last, high)
+    return [*rest, (last, len(run))]
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end) in code points, by start, then kind."""
     found: list[tuple[str, int, int]] = []
@@ -104,24 +140,23 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             for m in ASSIGN.finditer(text)
             if len(m[1]) >= ASSIGN_LEAST
         ]
+    urls: list[tuple[int, int]] | None = None
     for m in RUN.finditer(text):
         run, at = m[0], m.start()
         base = [("access", at + x.start(), at + x.end()) for x in ACCESS.finditer(run)]
         base += [("hex", at + x.start(), at + x.end()) for x in HEX.finditer(run)]
         found += base
-        added = [
-            (BASE16.kind, x.start() + a, x.start() + b)
-            for x in HEX_RUN.finditer(run)
-            for a, b in entropy_spans(x[0].lower(), BASE16.window, BASE16.bits)
-            if any(c.isalpha() for c in x[0][a:b])
-        ]
-        added += [
-            (BASE64.kind, a, b)
-            for a, b in entropy_spans(run, BASE64.window, BASE64.bits)
-            if _mixed(run[a:b])
-        ]
-        if added and not ALLOWED.search(run) and not URL.search(text[max(0, at - 2048) : at + 2 * run.startswith("//")]):
-            found += [(kind, at + a, at + b) for kind, a, b in added]
+        added = _random(run)
+        if not added:
+            continue
+        if urls is None:
+            urls = [m.span(1) for m in URL.finditer(text)]
+        near = bisect_right(urls, (at + 2 * run.startswith("//"), len(text))) - 1
+        if near >= 0 and m.end() <= urls[near][1]:
+            continue
+        if ALLOWED.search(run):
+            added = [(kind, low + a, low + b) for low, high in _unexplained(run) for kind, a, b in _random(run[low:high])]
+        found += [(kind, at + a, at + b) for kind, a, b in added]
     return sorted(found, key=lambda span: (span[1], KINDS.index(span[0]), span[2]))
 
 

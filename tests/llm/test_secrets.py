@@ -79,3 +79,31 @@ def test_rows_and_redaction(edge, nothing, documents):
 def test_overlapping_spans_are_replaced_once():
     text = "a token=9f86d081884c7d659a2feaa0c55ad015 b"
     assert secrets.redacted(text, secrets.find_spans(text), "#") == "a # b"
+
+
+KEY = "q7ZpL2vXc9RtB4mNw8KyD3fG"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"home":"https://a/x","session":"%s"}', "https://a.org/x,%s,1", "<a href=https://a/x>%s</a>", "(https://a/x)[%s]",
+        "https://a.org/x?session=%s&b=1", "https://user:%s@a.org/x", "data/sample/KEY=%s", "https://a.org/" + "x" * 3000 + "'%s'",
+    ],
+)
+def test_allow_list_explains_no_neighbour(text):
+    text = text % KEY
+    at = text.index(KEY)
+    assert any(s[0] == "entropy64" and s[1] <= at and s[2] >= at + len(KEY) for s in secrets.find_spans(text))
+
+
+def test_chance_placeholder_in_a_long_block():
+    block = "".join(KEY[i * 7 % 24 :] + KEY[: i * 7 % 24] for i in range(8))
+    text = f"{block}xxxx{block}"
+    covered = sum(b - a for kind, a, b in secrets.find_spans(text) if kind == "entropy64")
+    assert covered == 2 * len(block)
+
+
+def test_a_long_address_stays_explained():
+    text = "https://a.org/" + "x/" * 2000 + KEY
+    assert not [s for s in secrets.find_spans(text) if s[0].startswith("entropy")]
