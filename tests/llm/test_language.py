@@ -106,37 +106,3 @@ def test_awkward_documents(spark, edge, nothing, model):
     assert language.identify(edge, "doc_id", untaught, F.col("text")).filter("rejected").count() == len(EDGE)
     pages = spark.createDataFrame([(1, None, None), (2, "", ""), (None, "x", "<p>the"), (2, "http://", "<html lang=>")], "page_id long, url string, html string")
     assert language.identify_pages(pages, model).count() == 4
-
-
-FOREIGN = {
-    "ru": "Сегодня утром мы пошли в лес и долго искали грибы под старыми деревьями",
-    "ja": "今日は朝から雨が降っていて、私は家で本を読んでいました。",
-    "zh": "今天早上我们去森林里找蘑菇然后回家吃饭",
-    "pl": "Dzisiaj rano poszliśmy do lasu i długo szukaliśmy grzybów pod starymi drzewami, a potem wróciliśmy do domu",
-    "noise": "sdkfj weiru qpwoz mxncb vlksjd foiwe ruqzx kdjfh",
-}
-
-
-def test_foreign_texts_are_rejected(spark, documents, model):
-    own = [(r.doc_id, r.text) for r in documents.limit(20).collect()]
-    rows = [*own, *((1000 + i, t) for i, t in enumerate(FOREIGN.values()))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r for r in language.identify(docs, "doc_id", model, F.col("text")).collect()}
-    assert not any(found[i].rejected for i, _ in own)
-    assert all(found[1000 + i].rejected and found[1000 + i].lang == "und" for i in range(len(FOREIGN)))
-
-
-def test_pages_in_an_unmodelled_language(spark, model):
-    pages = spark.createDataFrame(
-        [(i, f"https://h{i % 3}.ru/x", f"<html lang=ru><p>{FOREIGN['ru']} {i}</p>") for i in range(12)],
-        "page_id long, url string, html string",
-    )
-    assert {r.lang for r in language.identify_pages(pages, model).collect()} == {"und"}
-
-
-def test_declared_languages_weigh_close_texts(spark):
-    rows = [(i, [0.0, -9.0], -30.0, None, "aa", None) for i in range(12)] + [(20 + i, [0.0, -9.0], 30.0, None, "zz", None) for i in range(12)]
-    rows += [(40, [0.0, -9.0], 0.5, None, "aa", None), (41, [0.0, -9.0], -0.5, None, "zz", None)]
-    frame = spark.createDataFrame(rows, "k long, evidence array<double>, unknown double, host string, declared string, suffix string")
-    found = {r.k: r.known for r in language.weigh_unknown(frame, ("aa", "bb")).collect()}
-    assert found[40] > 0.5 > found[41]
