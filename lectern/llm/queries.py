@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, itq, language, packing, quality, quotes, secrets, simhash, suffix
+from lectern.llm import ann, bpe, codes, itq, language, packing, quality, quotes, secrets, simhash, suffix
 from lectern.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(embeddings)
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code and error of every vector."""
+    (embeddings,) = tables(spark, sf_dir, "embeddings")
+    return codes.compress(embeddings)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -91,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_itq": op10_itq,
+    "op13_codes": op13_codes,
 }
 # The others cannot be said in SQL; the tests hold them against brute force.
-ORACLE: dict[str, str] = {"op4_suffix": suffix.SQL, "op5_quotes": quotes.SQL, "op10_itq": itq.SQL}
+ORACLE: dict[str, str] = {"op4_suffix": suffix.SQL, "op5_quotes": quotes.SQL, "op10_itq": itq.SQL, "op13_codes": codes.SQL}
