@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, codes, itq, language, packing, quality, quotes, secrets, simhash, suffix
+from lectern.llm import ann, bpe, codes, itq, language, mixing, packing, quality, quotes, secrets, simhash, suffix
 from lectern.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(embeddings)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of sources takes every document."""
+    (documents,) = tables(spark, sf_dir, "documents")
+    return mixing.mix(documents)
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product code and error of every vector."""
     (embeddings,) = tables(spark, sf_dir, "embeddings")
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_itq": op10_itq,
+    "op12_mixing": op12_mixing,
     "op13_codes": op13_codes,
 }
 # The others cannot be said in SQL; the tests hold them against brute force.
