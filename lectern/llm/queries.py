@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, bpe, codes, itq, language, mixing, packing, quality, quotes, secrets, simhash, suffix
+from lectern.llm import ann, bpe, codes, itq, language, mixing, packing, quality, quotes, secrets, simhash, suffix, trie
 from lectern.llm.common import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,12 @@ def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(embeddings)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared first turns."""
+    (messages,) = tables(spark, sf_dir, "conversations")
+    return trie.build(messages, trie.with_heads)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix of sources takes every document."""
     (documents,) = tables(spark, sf_dir, "documents")
@@ -103,8 +109,15 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_itq": op10_itq,
+    "op11_trie": op11_trie,
     "op12_mixing": op12_mixing,
     "op13_codes": op13_codes,
 }
 # The others cannot be said in SQL; the tests hold them against brute force.
-ORACLE: dict[str, str] = {"op4_suffix": suffix.SQL, "op5_quotes": quotes.SQL, "op10_itq": itq.SQL, "op13_codes": codes.SQL}
+ORACLE: dict[str, str] = {
+    "op4_suffix": suffix.SQL,
+    "op5_quotes": quotes.SQL,
+    "op10_itq": itq.SQL,
+    "op11_trie": trie.SQL,
+    "op13_codes": codes.SQL,
+}
