@@ -113,5 +113,9 @@ select concat('book-', cast(doc_id as varchar(20)), '.epub') as path,
   replace(text, chr(10), concat(' at 30 k.p.h. for $12', chr(10))) as text
 from documents"""
 
+# File names of archives, by number: patterns for some readers, hidden for others.
+SPELLINGS = (
+    "book-#.epub", "Title [v#].epub", "a{#,b}.epub", "_draft-#.epub", ".hid-#.epub", "what? 100%25 *#*.epub", "book-#.EPUB",
+)
 RULES = (("the", "THE"), ("THE end", "done"), ("ing", ""), (r"([a-z]+)en", "${1}EN"))
 SKIPPED_TITLES = ": q0"

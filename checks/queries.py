@@ -15,8 +15,8 @@ from lectern.functions.normalize import clean_text, money_to_words, speed_to_wor
 from lectern.operators import narration, rules, titles
 from lectern.operators.joins import number_within
 from lectern.plans.chapters import chapters_of_archives, chapters_of_tables, observed
-from lectern.session import read_spread, scratch_folder
-from lectern.sources import epub, outputs
+from lectern.session import read_spread, scratch_folder, written
+from lectern.sources import epub, listing, outputs
 from lectern.streaming import books as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,22 +233,31 @@ def epub_rejects(spark, sf_dir):
     return epub.rejects(epub.unpack(archives(spark, sf_dir, defects=True)))
 
 
-def archive_files(spark, sf_dir, defects: bool = False, nested: bool = False):
+def archive_files(spark, sf_dir, defects: bool = False, spelled: bool = False):
     """The archives written as files to the shared folder; gives the folder.
 
-    ``nested``: in folders of several depths, with endings in both cases.
+    ``spelled``: in folders of several depths, under names of all spellings.
     """
     folder = scratch_folder(spark, "archives")
-    root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
-    number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
-    place = F.when(number % 3 == 0, "").when(number % 3 == 1, "sub/").otherwise("sub/More/")
-    name = F.when(number % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit(".epub"), F.lit(".EPUB")))
-    path = F.concat(F.lit(f"{root}/"), place, name) if nested else F.concat(F.lit(f"{root}/"), "path")
+    path = F.col("path")
+    if spelled:
+        number = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+        place = F.when(number % 3 == 0, "").when(number % 3 == 1, "sub/").otherwise("sub/More/")
+        name = F.get(F.array(*map(F.lit, inputs.SPELLINGS)), (number % len(inputs.SPELLINGS)).cast("int"))
+        path = F.concat(place, F.replace(name, F.lit("#"), number.cast("string")))
     files = archives(spark, sf_dir, defects).select(
-        path.alias("path"), "content", F.lit(None).cast("string").alias("error")
+        F.concat(F.lit(f"{rooted(folder)}/"), path).alias("path"), "content", F.lit(None).cast("string").alias("error")
     )
-    outputs.write_files(files).write.format("noop").mode("overwrite").save()
-    return folder
+    done = outputs.write_files(files)
+    if not spelled:
+        done.write.format("noop").mode("overwrite").save()
+        return folder
+    return folder, written(done.select("path"), "named")
+
+
+def rooted(folder: str) -> str:
+    """The folder with the name of its store."""
+    return folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
 
 def below(folder: str, path: str):
@@ -257,14 +266,19 @@ def below(folder: str, path: str):
 
 
 def epub_files(spark, sf_dir):
-    """Every archive file, found by path, is in the chapters or in the rejects."""
-    folder = archive_files(spark, sf_dir, defects=True, nested=True)
-    files, unread = epub.read_files(spark, folder)
-    unpacked = epub.ingest(files, scratch_folder(spark, "unpacked"))
+    """Every archive file, however it is spelled, is in the chapters or in the rejects.
+
+    Hidden files are found where they are named; the others are below the folder.
+    """
+    folder, paths = archive_files(spark, sf_dir, defects=True, spelled=True)
+    hidden = paths.filter(F.rlike("path", F.lit(r"/[._][^/]*$")))
+    roots = [(rooted(folder),), (f"{rooted(folder)}/gone [1].epub",)]
+    files, lost = listing.resolve(spark, hidden.unionByName(spark.createDataFrame(roots, "path string")))
+    unpacked = epub.ingest_listed(files, scratch_folder(spark, "unpacked"))
     chapters = epub.chapters(unpacked).groupBy(F.col("book_id").alias("path")).agg(
         F.count(F.lit(1)).alias("chapters")
     )
-    rejected = epub.rejects(unpacked).unionByName(unread)
+    rejected = epub.rejects(unpacked).unionByName(lost)
     return chapters.join(rejected, "path", "full").select(
         below(folder, "path").alias("file"), F.coalesce("chapters", F.lit(0)).alias("chapters"), "reason"
     )
@@ -273,7 +287,7 @@ def epub_files(spark, sf_dir):
 def output_tree(spark, sf_dir):
     """The file tree of all chapters, written and read back; without the raw HTML."""
     folder = scratch_folder(spark, "tree")
-    root = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    root = rooted(folder)
     chapters = chapters_of_archives(epub.ingest(archives(spark, sf_dir, defects=True), scratch_folder(spark, "unpacked")))
     files = outputs.chapter_files(chapters, F.concat(F.lit(f"{root}/"), "book_id"))
     outputs.write_files(files.filter(~F.contains("path", F.lit("/HTML/")))).write.format("noop").mode("overwrite").save()

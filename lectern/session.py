@@ -43,6 +43,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that it is worked out once."""
+    folder = scratch_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table for row-by-row text work on all cores.
 
