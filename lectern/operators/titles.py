@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import names
@@ -12,40 +12,54 @@ from lectern.operators.joins import join_per_key
 SOURCES = ("toc", "title_tag", "section_tag")
 
 
+def _class(length: Column) -> Column:
+    """Length class: the digits of the length in binary, 0 for no characters."""
+    return F.when(length > 0, F.length(F.bin(length))).otherwise(0)
+
+
+def _head_size(number: Column) -> Column:
+    """Characters that all paths of a class have: 0, 1, 2, 4, 8, ..."""
+    return F.pow(F.lit(2.0), number - 1).cast("int")
+
+
 def _needles(paths: DataFrame, toc: DataFrame) -> DataFrame:
     """Every part of each TOC content that may be a path of its book.
 
     A content contains a path exactly if the path is one of its parts, so the
-    substring join becomes an equality join.  A part can begin where the content
-    reads like the head of a path: as many characters as the shortest path of the
-    book has.  Places are matched to the heads of the book by an equality join,
-    and only where a head begins are parts cut, one for each length that paths of
-    the book have.  The work depends on the lengths of the contents, not on how
-    many chapters the book has or which folders they are in.
+    substring join becomes an equality join.  Paths are classed by the power of two
+    in their length, and a class has heads: the first so many characters of its
+    paths.  A part of a class can begin only where the content reads like one of its
+    heads.  Places are matched to heads by an equality join, and only where a
+    head begins are parts cut, one for each length that occurs in its class.  The
+    work depends on the lengths of the contents, not on how many chapters the book
+    has, which folders they are in or how short the shortest path is.
     """
     path = F.col("path")
-    bounds = paths.groupBy("book_id").agg(
-        F.min(F.length(path)).alias("short"),
+    classed = paths.select("book_id", "path").withColumn("class", _class(F.length(path)))
+    of_class = classed.groupBy("book_id", "class").agg(
         F.collect_set(F.length(path)).alias("lengths"),  # no more than the longest path has characters
         F.min(path).alias("low"),
         F.max(path).alias("high"),
     )
-    heads = join_per_key(
-        paths.select("book_id", "path"), bounds.select("book_id", "short"), "book_id", path, "inner"
-    ).select("book_id", F.substring(path, F.lit(1), F.col("short")).alias("head"))
+    one = F.struct("class", "lengths", "low", "high")
+    bounds = of_class.groupBy("book_id").agg(F.collect_list(one).alias("classes"))  # a few for each book
+    heads = classed.select("book_id", "class", F.substring(path, F.lit(1), _head_size(F.col("class"))).alias("head"))
     bounded = join_per_key(toc, bounds, "book_id", F.col("pos"), "inner")
-    content, short = F.col("content"), F.col("short")
+    bounded = bounded.select("book_id", "pos", "label", "content", F.explode("classes").alias("of")).select(
+        "book_id", "pos", "label", "content", "of.*"
+    )
+    content, short = F.col("content"), _head_size(F.col("class"))
     size = F.length(content)
     starts = F.filter(
-        F.sequence(F.lit(1), size - short + 1),
+        F.sequence(F.lit(1), F.when(short > 0, size - short + 1).otherwise(1)),
         lambda at: (F.substring(content, at, size) >= F.col("low"))
         & (F.substring(content, at, short) <= F.col("high")),
     )
     places = bounded.filter(size >= short).select(
-        "book_id", "pos", "label", "content", "lengths", "short", F.explode(starts).alias("at")
+        "book_id", "pos", "label", "content", "class", "lengths", F.explode(starts).alias("at")
     )
     places = places.withColumn("head", F.substring(content, F.col("at"), short))
-    begun = places.join(heads.distinct(), ["book_id", "head"], "left_semi")
+    begun = places.join(heads.distinct(), ["book_id", "class", "head"], "left_semi")
     fitting = F.filter("lengths", lambda length: F.col("at") + length - 1 <= size)
     return begun.select(
         "book_id", "pos", "label", "content", "at", F.explode(fitting).alias("length")

@@ -86,3 +86,39 @@ def test_uniform_titles(spark):
     assert {r.book_id: (r.title_tag_uniform, r.section_tag_uniform, r.title_source) for r in report} == {
         "same": (True, True, "TOC"), "differ": (False, False, "TOC"),
         "cover": (True, True, "TOC"), "empty": (True, True, "TOC")}
+
+
+def test_paths_of_all_lengths_in_one_book(spark):
+    """Empty, short and long paths, many of which begin alike, against every pair."""
+    rng = random.Random(17)
+    word = lambda low, high: "".join(rng.choice("ab/") for _ in range(rng.randint(low, high)))
+    spine = [(f"b{k}", word(*rng.choice([(0, 1), (1, 4), (7, 9), (15, 40)]))) for k in range(4) for _ in range(25)]
+    toc = [(f"b{k}", pos, word(0, 60), f"l{k}.{pos}") for k in range(4) for pos in range(30)]
+    toc += [(b, 100 + i, f"../{p}#x", f"own {i}") for i, (b, p) in enumerate(spine) if i % 2]
+    first = lambda book, path: next((e[3] for e in sorted(toc, key=lambda e: e[1]) if e[0] == book and path in e[2]), "")
+    found = titles.match_toc(
+        spark.createDataFrame(spine, "book_id string, path string"),
+        spark.createDataFrame(toc, "book_id string, pos int, content string, label string"),
+    ).collect()
+    assert sorted(map(tuple, found)) == sorted((b, p, first(b, p)) for b, p in spine)
+    for book in ("b0", "b1", "b2", "b3"):
+        paths = {p for b, p in spine if b == book}
+        entries = [{"content": c, "label": l} for b, _, c, l in sorted(toc, key=lambda e: e[1]) if b == book]
+        assert {p: first_labels(paths, entries).get(p, "") for p in paths} == {p: first(book, p) for p in paths}
+
+
+def test_one_short_path_makes_no_more_places(spark):
+    """A path of one character adds the places of that character only, not every place of the others."""
+    spine = [("b", f"OEBPS/text/chapter-{i:05d}.xhtml") for i in range(400)]
+    toc = [("b", i, f"../OEBPS/text/chapter-{i:05d}.xhtml#start", "x") for i in range(400)]
+
+    def needles(paths):
+        return titles._needles(
+            spark.createDataFrame(paths, "book_id string, path string"),
+            spark.createDataFrame(toc, "book_id string, pos int, content string, label string"),
+        ).count()
+
+    plain = needles(spine)
+    assert plain == 400
+    assert needles([*spine, ("b", "z")]) == plain
+    assert needles([*spine, ("b", "p")]) == plain + 400  # one small p in each content
