@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from checks import epub_pack, inputs
 from lectern.functions import html as H
 from lectern.functions import names
-from lectern.functions.html_tokens import read_pages
 from lectern.functions.normalize import clean_text, money_to_words, speed_to_words
 from lectern.operators import narration, rules, titles
 from lectern.operators.joins import number_within
 from lectern.plans.chapters import chapters_of_archives, chapters_of_tables, observed
-from lectern.session import read_spread, scratch_folder, written
+from lectern.session import read_spread, scratch_folder
 from lectern.sources import epub, listing, outputs
 from lectern.streaming import books as streams
 
@@ -66,11 +65,6 @@ def html_text(spark, sf_dir):
     return H.extract_page(pages(spark, sf_dir), "html", text="text").select("page_id", "text")
 
 
-def html_text_exact(spark, sf_dir):
-    read_page = read_pages("html")
-    return pages(spark, sf_dir).select("page_id", read_page["body_text"].alias("text"))
-
-
 def title_tag(spark, sf_dir):
     rows = H.extract_page(pages(spark, sf_dir), "html", title_tag="title")
     return rows.select("page_id", "title")
@@ -248,11 +242,8 @@ def archive_files(spark, sf_dir, defects: bool = False, spelled: bool = False):
     files = archives(spark, sf_dir, defects).select(
         F.concat(F.lit(f"{rooted(folder)}/"), path).alias("path"), "content", F.lit(None).cast("string").alias("error")
     )
-    done = outputs.write_files(files)
-    if not spelled:
-        done.write.format("noop").mode("overwrite").save()
-        return folder
-    return folder, written(done.select("path"), "named")
+    done = outputs.write_files(files, rooted(folder))
+    return (folder, done.select("path")) if spelled else folder
 
 
 def rooted(folder: str) -> str:
@@ -285,12 +276,13 @@ def epub_files(spark, sf_dir):
 
 
 def output_tree(spark, sf_dir):
-    """The file tree of all chapters, written and read back; without the raw HTML."""
+    """The whole file tree of all books, written and read back."""
     folder = scratch_folder(spark, "tree")
     root = rooted(folder)
-    chapters = chapters_of_archives(epub.ingest(archives(spark, sf_dir, defects=True), scratch_folder(spark, "unpacked")))
-    files = outputs.chapter_files(chapters, F.concat(F.lit(f"{root}/"), "book_id"))
-    outputs.write_files(files.filter(~F.contains("path", F.lit("/HTML/")))).write.format("noop").mode("overwrite").save()
+    unpacked = epub.ingest(archives(spark, sf_dir, defects=True), scratch_folder(spark, "unpacked"))
+    of_book = F.concat(F.lit(f"{root}/"), "book_id")
+    files = outputs.chapter_files(chapters_of_archives(unpacked), of_book)
+    outputs.write_files(files.unionByName(outputs.book_files(epub.books(unpacked), of_book)), root)
     tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return tree.select(below(folder, "path").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
@@ -382,7 +374,6 @@ QUERIES: dict[str, Query] = {
     "sanitize": sanitize,
     "sup_filter": sup_filter,
     "html_text": html_text,
-    "html_text_exact": html_text_exact,
     "title_tag": title_tag,
     "section_title": section_title,
     "rules_parse": rules_parse,
