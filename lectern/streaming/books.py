@@ -22,8 +22,8 @@ from lectern.functions.rule_dialect import Rule
 from lectern.plans.chapters import chapters_of_archives, with_texts
 from lectern.sources import epub
 
-# Files of one micro-batch, so that the first one is not the whole collection.
-FILES_PER_BATCH = 10_000
+# Bytes of archives in one micro-batch, so that the first one is not the whole collection.
+BATCH_BYTES = 64 << 30
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -41,10 +41,13 @@ PAGES = T.StructType(
 )
 
 
-def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New archives in ``folder`` and all folders below it, a bounded number at a time."""
+def file_stream(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """New archives in ``folder`` and all folders below it.
+
+    A micro-batch takes files of up to ``batch_bytes`` in all, and one file at least.
+    """
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
-    reader = reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", FILES_PER_BATCH)
+    reader = reader.option("recursiveFileLookup", "true").option("maxBytesPerTrigger", batch_bytes)
     return reader.load(folder).filter(epub.is_archive(F.col("path"), []))
 
 
@@ -78,16 +81,16 @@ def convert_archives(
 def ingest_archives(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append all archives that have arrived to the unpacked table in ``folder``.
 
-    Each archive is opened once; see ``epub.books``, ``epub.chapters`` and
-    ``epub.rejects`` for what is read off the table (``unpacked_table``).
+    Each archive is opened once, by its path, and may be of any length; see
+    ``epub.books``, ``epub.chapters`` and ``epub.rejects`` for what is read off the
+    table (``unpacked_table``).
     """
-    unpacked = epub.unpack(epub.readable(files))
-    return _sink(unpacked.unionByName(epub.oversized(files), allowMissingColumns=True), folder, checkpoint)
+    return _sink(epub.unpack_listed(files), folder, checkpoint)
 
 
 def unpacked_table(spark: SparkSession, folder: str) -> DataFrame:
-    """What ``ingest_archives`` has written so far."""
-    return spark.read.schema(epub.UNPACKED).parquet(folder)
+    """What ``ingest_archives`` has written so far, without books found damaged late."""
+    return epub.settled(spark.read.schema(epub.UNPACKED).parquet(folder))
 
 
 def convert_pages(
