@@ -29,6 +29,10 @@ SAMPLE_ROWS = 20_000
 ITERATIONS = 30
 # Chance that a pair right at the threshold is met in some table.
 RECALL = 0.99
+# Sampled vectors from which on a label is planned for by itself.
+LABEL_SAMPLE = 50
+# Rows to compare that carrying a row to one more table is worth.
+ROW_COST = 32
 # Rows that meet in one comparison.
 CHUNK = 512
 
@@ -59,15 +63,51 @@ def learn_rotation(x: np.ndarray, seed: int, iterations: int = ITERATIONS) -> tu
     return mean, basis @ rotation
 
 
-def table_plan(largest: int, width: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+def agreements(sample: np.ndarray, rotations: list[tuple[np.ndarray, np.ndarray]], cosine: float) -> np.ndarray:
+    """Share of equal bits of each sampled vector and a partner right at the threshold.
+
+    Codes are signs after centring, so the share depends on how far the vectors lie from
+    their mean, not on ``cosine`` alone.  Partners are turned away in a random direction, and
+    in the direction of another sampled vector; the lower share counts.
+    """
+    rng = np.random.default_rng(len(sample))
+    shares = np.ones(len(sample))
+    for towards in (rng.normal(size=sample.shape), sample[rng.permutation(len(sample))]):
+        away = towards - (towards * sample).sum(1, keepdims=True) * sample
+        norm = np.linalg.norm(away, axis=1, keepdims=True)
+        away = np.divide(away, norm, out=np.zeros_like(away), where=norm > 1e-9)
+        partner = cosine * sample + math.sqrt(1 - cosine**2) * away
+        equal = [((sample - m) @ p >= 0) == ((partner - m) @ p >= 0) for m, p in rotations]
+        shares = np.minimum(shares, np.mean(equal, axis=(0, 2)))
+    return shares
+
+
+def table_plan(largest: int, width: int, shares: np.ndarray, labels: np.ndarray, recall: float = RECALL) -> tuple[int, int]:
     """(bits per substring, tables) for labels of up to ``largest`` vectors.
 
-    Substrings grow with the logarithm of the label, so buckets keep their size;
-    tables are added until a pair at the threshold meets with chance ``recall``.
+    A pair meets in a table if all bits of a substring agree; tables are added until
+    pairs at the threshold meet with chance ``recall`` on average over the sample, and
+    over each label that has enough of it.  Of the lengths the one with the fewest rows
+    to compare is taken.
     """
-    bits = int(np.clip(round(math.log2(max(largest, 2))) - 5, 4, 30))
-    agree = (1 - math.acos(cosine) / math.pi) ** bits
-    return min(bits, width), math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    names, place, size = np.unique(labels, return_inverse=True, return_counts=True)
+    groups = [shares, *(shares[place == k] for k in np.flatnonzero(size >= LABEL_SAMPLE))]
+
+    def needed(bits: int) -> int:
+        apart = [1 - np.clip(g, 0.5, 1 - 1e-9) ** bits for g in groups]
+        low, high = 0, 1
+        while any((a**high).mean() > 1 - recall for a in apart):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if any((a**middle).mean() > 1 - recall for a in apart) else (low, middle)
+        return high
+
+    if not len(shares):
+        return min(4, width), 1
+    plans = [(needed(b) * (largest / 2**b + ROW_COST), b) for b in range(1, min(30, width) + 1)]
+    bits = min(plans)[1]
+    return bits, needed(bits)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -176,7 +216,9 @@ def near_duplicates(
     precision.  Rows whose label is null or whose vector is null, zero or not
     finite link with nothing and are their own component, as are rows without an
     id.  Vectors of another length than the most common one (ties: the longest)
-    take no part.  Rows that share an id are one vector for components; each row counts
+    take no part.  Pairs are found with a chance of about 0.99 at the threshold, more above;
+    the plan is made on the sample's codes, so a mean that vectors have in common costs
+    tables, not links.  Rows that share an id are one vector for components; each row counts
     in ``n_links``.  An empty table gives no rows.
     """
     rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
@@ -196,11 +238,12 @@ def near_duplicates(
     )
     labels = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     largest, total = labels.agg(F.max("n"), F.sum("n")).first()
-    bits, tables = table_plan(largest, width, cosine)
-    sample = sample_of(classes, "first", sample_rows, total).select("vector").toPandas()
-    sample = _unit(np.array(sample["vector"].tolist(), float).reshape(-1, width))
+    sampled = sample_of(classes, "first", sample_rows, total).select("vector", "label").toPandas()
+    sample = _unit(np.array(sampled["vector"].tolist(), float).reshape(-1, width))
+    rotations = [learn_rotation(sample, seed) for seed in range(2)]
+    bits, tables = table_plan(largest, width, agreements(sample, rotations, cosine), sampled["label"].to_numpy())
     per = max(width // bits, 1)
-    rotations = [learn_rotation(sample, seed) for seed in range(-(-tables // per))]
+    rotations += [learn_rotation(sample, seed) for seed in range(2, -(-tables // per))]
     coded = written(_coded(classes, rotations, bits, tables), "codes")
 
     spread = coded.select("*", F.posexplode("keys").alias("t", "key"))

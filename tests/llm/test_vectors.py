@@ -137,3 +137,25 @@ def test_probes_come_in_falling_order_and_cover():
     probes = list(hashes.probes(np.array([0.3, 2.7])[: hashes.shifts.shape[1]]))
     assert len(set(probes)) == len(probes)
     assert probes[0] == tuple(math.floor(v) for v in [0.3, 2.7][: hashes.shifts.shape[1]])
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.6, 0.8])
+def test_links_with_a_mean_in_common(spark, shared):
+    """Pairs at cosine 0.93 to 0.96 among vectors whose squared mean norm is ``shared``."""
+    rng = np.random.default_rng(31)
+    width, unit = 64, lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mean = unit(rng.normal(size=width)) * math.sqrt(shared)
+    spread = unit(rng.normal(size=(4000, width)))
+    spread = unit(spread - (spread @ unit(mean + 1e-12))[:, None] * unit(mean + 1e-12)) if shared else spread
+    base = unit(mean + math.sqrt(1 - shared) * spread)
+    cosine = rng.uniform(0.93, 0.96, (1000, 1))
+    away = rng.normal(size=(1000, width))
+    away = unit(away - (away * base[:1000]).sum(1, keepdims=True) * base[:1000])
+    x = np.concatenate([base, cosine * base[:1000] + np.sqrt(1 - cosine**2) * away])
+    label = np.concatenate([np.arange(4000) % 2, np.arange(1000) % 2])
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    found = {r.vec_id: r.n_links for r in itq.near_duplicates(frame(spark, rows)).collect()}
+    links = np.array([found[i] for i in range(len(x))])
+    assert (links <= near.sum(1)).all()
+    assert links.sum() >= 0.95 * near.sum()
