@@ -8,8 +8,9 @@ from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lectern.session import scratch_folder
 
@@ -28,6 +29,20 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+def row_hash(docs: DataFrame) -> list[Column]:
+    """128 bits of hash of a whole row, as two longs; equal rows have equal hashes.
+
+    Operators that take decisions by id can then decide on rows, whatever ids are null or repeat.
+    """
+    plain = [
+        F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`")
+        for f in docs.schema.fields
+    ]
+    # A null leaves the hash as it is, so its place is hashed too.
+    nulls = F.concat(*(c.isNull().cast("string") for c in plain))
+    return [F.xxhash64(nulls, *plain).alias("hash0"), F.xxhash64(F.lit(1), nulls, *plain).alias("hash1")]
+
+
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     """The named Parquet tables of a folder."""
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]

@@ -16,7 +16,6 @@ size, and no pair of it is ever emitted: only forests are.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,22 +27,15 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import slices, texts_of, without_gc, written
 from lectern.llm.components import components
+from lectern.operators.joins import join_per_key
 
 SEED = 42
 BITS = 64
 DISTANCE = 3
-# Standard deviations by which a wanted similarity may be estimated too low.
-SLACK = 1.5
-# The same where pairs are only candidates: a wide bound costs work and no wrong link.
-CANDIDATE_SLACK = 3.0
 # Rows that meet in one comparison.
 CHUNK = 1024
 # Rows of these that are compared at once, which bounds the working memory.
 STRIP = 128
-# Shingles that meet in one comparison of sets, about.
-SHINGLES = 1 << 20
-# Bytes of text of which the sets are made at once.
-SET_BYTES = 1 << 20
 # Reference fingerprints of the pivot table: fixed bit patterns.
 PIVOTS = 16
 
@@ -95,8 +87,10 @@ def fingerprint(text: str, words: int = 3, width: int = 1) -> list[int]:
     return majority(shingles(text, words), width)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, width: int = 1) -> DataFrame:
-    """``doc_id`` and the fingerprint as signed longs ``w0, w1, ...``; map-only.
+def fingerprints(
+    docs: DataFrame, text: str = "text", words: int = 3, width: int = 1, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The long columns ``keep`` and the fingerprint as signed longs ``w0, w1, ...``; map-only.
 
     A null text or one without words has fingerprint zero.
     """
@@ -107,9 +101,10 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, width: int
         for batch in slices(batches, text):
             found = np.array([fingerprint(t, words, width) for t in texts_of(batch, text)], np.uint64)
             columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *names])
+            kept = [batch.column(k).cast(pa.int64()) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*keep, *names])
 
-    return docs.select("doc_id", text).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
+    return docs.select(*keep, text).mapInArrow(run, ", ".join(f"{n} long" for n in [*keep, *names]))
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -290,282 +285,51 @@ def linked_classes(rows: DataFrame, distance: int) -> DataFrame:
     return moved.unionByName(second)
 
 
+def groups(found: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``fp, label`` for each fingerprint of ``found(fp)``: the smallest one that links lead to."""
+    classes = written(found.select("fp").distinct(), "classes")
+    key = F.explode(_keys(F.col("fp"), block_masks(distance, distance + 2))).alias("key")
+    rows = classes.select("fp", key).select("key.m", "key.k", F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    labels = linked_classes(rows, distance)
+    joined = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    return written(joined.select("fp", F.coalesce("component", "fp").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every document.
 
     ``component_id`` is the smallest id reachable over links of fingerprints with
-    at most ``distance`` differing bits; all such links are found.  Null and
-    wordless texts share the fingerprint zero and link like any other.  Rows with
-    a null id keep their fingerprint and carry links; the component of nothing
-    but null ids is null.  Repeated ids give a row each.  An empty table gives no
-    rows.
+    at most ``distance`` differing bits; all such links are found.  Whole texts are
+    read, however long.  Null and wordless texts share the fingerprint zero and link
+    like any other.  Rows with a null id keep their fingerprint and carry links; the
+    component of nothing but null ids is null.  Repeated ids and rows give a row each.
+    An empty table gives no rows; other columns are left out.
     """
     found = written(fingerprints(docs, text, words).withColumnRenamed("w0", "fp"), "fingerprints")
-    classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    key = F.explode(_keys(F.col("fp"), block_masks(distance, distance + 2))).alias("key")
-    rows = classes.select("fp", key).select("key.m", "key.k", F.col("fp").alias("node"), F.col("fp").alias("w0"))
-    labels = linked_classes(rows, distance)
-    labelled = written(
-        classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-            "fp", "first", F.coalesce("component", "fp").alias("label")
-        ),
-        "labels",
-    )
-    smallest = written(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "components")
-    of_class = written(labelled.join(smallest, "label").select("fp", "component_id"), "of-class")
-    return found.join(of_class, "fp").select(
+    labels = groups(found, distance)
+    of_class = found.groupBy("fp").agg(F.min("doc_id").alias("first")).join(labels, "fp")
+    of_class = written(of_class, "of-class")
+    smallest = of_class.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = written(of_class.select("fp", "label").join(smallest, "label").select("fp", "component_id"), "components")
+    return found.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def radius(similarity: float, width: int, slack: float = SLACK) -> int:
-    """Bits in which fingerprints of sets of this similarity differ at most.
-
-    Sets of one size with Jaccard similarity s have the cosine 2s / (1 + s), and
-    a bit differs with the angle over pi; ``slack`` standard deviations are added.
-    """
-    bits, share = BITS * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
-
-
-def tables_for(similarity: float, width: int, bits: int, recall: float) -> int:
-    """Tables of ``bits`` sampled bits in which a pair of this similarity meets with chance ``recall``.
-
-    The mean is over the binomial spread of the bits in which such pairs differ.
-    """
-    size, share = BITS * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    chance = np.array([math.comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size + 1)])
-    apart = 1 - (1 - np.arange(size + 1) / size) ** bits
-    tables = 1
-    while chance @ apart**tables > 1 - recall:
-        tables += 1
-    return tables
-
-
-def _sampled_keys(classes: DataFrame, width: int, tables: int, bits: int) -> DataFrame:
-    """``m, k, node, w0, ...``: a row per table with ``bits`` bits of the fingerprint."""
-    names = [f"w{i}" for i in range(width)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        chosen = [np.sort(rng.choice(BITS * width, bits, replace=False)) for _ in range(tables)]
-        power = 1 << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            words = np.stack([batch.column(n).to_numpy() for n in names], 1)
-            spread = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for table, places in enumerate(chosen):
-                key = pa.array(spread[:, places] @ power)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words), table, np.int32)), key, *batch.columns], ["m", "k", *batch.schema.names]
-                )
-
-    kinds = ", ".join(f"{n} long" for n in ["k", "node", *names])
-    return classes.select("node", *names).mapInArrow(run, f"m int, {kinds}")
-
-
-def _set_prints(docs: DataFrame, text: str, words: int, width: int) -> DataFrame:
-    """``doc_id``, fingerprint, digest and size of the set of shingles; map-only.
-
-    Each shingle counts once.  Equal digests ``d0, d1`` of 128 bits name equal sets.
-    """
-    names = [*(f"w{i}" for i in range(width)), "d0", "d1", "size"]
-
-    @without_gc
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            rows = []
-            for value in texts_of(batch, text):
-                own = np.unique(shingles(value, words))
-                rows.append([*majority(own, width), *_digest(own), len(own)])
-            found = np.array(rows, np.uint64).reshape(-1, len(names))
-            columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *names])
-
-    return docs.select("doc_id", text).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
-
-
-def _digest(own: np.ndarray) -> tuple[int, int]:
-    whole = xxhash.xxh128_intdigest(own.astype("<u8").tobytes(), SEED)
-    return whole >> 64, whole & ((1 << 64) - 1)
-
-
-def _with_sets(rows: DataFrame, docs: DataFrame, text: str, words: int) -> DataFrame:
-    """Replace the digest of ``rows`` by ``set``, the sorted hashes of the shingles.
-
-    Texts are joined by ``node``; of texts under one id the one with the digest is taken.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("body"))
-    names = [c for c in rows.columns if c not in ("d0", "d1")]
-
-    @without_gc
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "body", SET_BYTES):
-            sets, kept = [], []
-            wanted = [batch.column(d).to_numpy().view(np.uint64).tolist() for d in ("d0", "d1")]
-            for row, value in enumerate(texts_of(batch, "body")):
-                own = np.unique(shingles(value, words))
-                if _digest(own) == (wanted[0][row], wanted[1][row]):
-                    sets.append(own.astype("<u8").tobytes())
-                    kept.append(row)
-            taken = batch.select(names).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sets, pa.binary())], [*names, "set"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
-    return rows.join(texts, "node").select(*rows.columns, "body").mapInArrow(run, f"{kinds}, set binary")
-
-
-class Sets:
-    """Sets of hashes, for the exact similarity of one to others."""
-
-    def __init__(self, raw: list[bytes], similarity: float) -> None:
-        flat = [np.frombuffer(r, "<u8") for r in raw]
-        self.sizes = np.array([len(f) for f in flat])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        values, self.places = np.unique(np.concatenate(flat), return_inverse=True)
-        self.mark = np.zeros(len(values), bool)
-        self.similarity = similarity
-
-    def of(self, row: int) -> np.ndarray:
-        return self.places[self.starts[row] : self.starts[row] + self.sizes[row]]
-
-    def similar(self, row: int, others: np.ndarray) -> np.ndarray:
-        """Which of ``others`` have at least the wanted Jaccard similarity to ``row``."""
-        self.mark[self.of(row)] = True
-        if 4 * self.sizes[others].sum() < len(self.places):
-            common = np.array([np.count_nonzero(self.mark[self.of(o)]) for o in others.tolist()], np.int64)
-        else:
-            common = np.add.reduceat(self.mark[self.places], self.starts, dtype=np.int64)[others]
-        self.mark[self.of(row)] = False
-        return common >= self.similarity * (self.sizes[row] + self.sizes[others] - common) - 1e-9
-
-
-def _sets_inside(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Forest links of similar sets inside each chunk of each group ``k``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for group in _groups(batches, ["k", "chunk"]):
-            values, node = _words_of(group), group["node"]
-            near = links_among(values, values, pivots(values.shape[1]), distance)
-            sets, unseen = Sets(group["set"].tolist(), similarity), np.ones(len(node), bool)
-            for seed in range(len(node)):
-                frontier = [seed] if unseen[seed] else []
-                unseen[seed] = False
-                while frontier:
-                    at = frontier.pop()
-                    others = np.flatnonzero(near[at] & unseen)
-                    if len(others):
-                        others = others[sets.similar(at, others)]
-                        unseen[others] = False
-                        frontier += others.tolist()
-                        found.append((node[others], np.full(len(others), node[at])))
-        yield _edges(found)
-
-    keys = ["k", "chunk"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-
-
-def _sets_across(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links between components of similar sets, in blocks of all rows against the minor ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for group in _groups(batches, ["k", "chunk", "other"]):
-            minor = group["side"] == 1
-            if not minor.any() or minor.all():
-                continue
-            left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
-            values, label = _words_of(group), group["label"].copy()
-            near = links_among(values[left], values[right], pivots(values.shape[1]), distance)
-            sets = Sets(group["set"].tolist(), similarity)
-            for j, at in enumerate(right.tolist()):
-                others = left[near[:, j]]
-                others = others[label[others] != label[at]]
-                if not len(others):
-                    continue
-                linked = np.unique(label[others[sets.similar(at, others)]])
-                found.append((linked, np.full(len(linked), label[at])))
-                if len(linked):  # what is linked here needs no further comparison
-                    label[np.isin(label, linked)] = label[at]
-        yield _edges(found)
-
-    keys = ["k", "chunk", "other"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
-
-
-def _similar_sets(
-    members: DataFrame, docs: DataFrame, text: str, words: int, distance: int, similarity: float
-) -> DataFrame:
-    """(node, component) over links of exact similarity inside each group ``k`` of candidates.
-
-    Rounds as in ``linked_classes``: inside chunks, then across chunks what is
-    not yet in the component that holds most of its group.
-    """
-    prints = [c for c in members.columns if c[0] in "wd" and c[1:].isdigit()]
-    parts = lambda rows, held: F.greatest(F.ceil(rows / CHUNK), F.ceil(held / SHINGLES)).cast("int")
-    of_group = members.groupBy("k").agg(parts(F.count(F.lit(1)), F.sum("size")).alias("chunks"))
-    of_group = written(of_group, "groups")
-    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    chunked = members.join(of_group, "k").select("k", "node", *prints, part(F.col("chunks")).alias("chunk"))
-    first = written(components(_sets_inside(_with_sets(chunked, docs, text, words), distance, similarity)), "first-sets")
-
-    wide = written(
-        members.join(of_group.filter("chunks > 1"), "k").join(first, "node", "left")
-        .select("k", "node", *prints, "size", F.coalesce("component", "node").alias("label")),
-        "wide-groups",
-    )
-    held = wide.groupBy("k", "label").agg(F.count(F.lit(1)).alias("held"), F.sum("size").alias("inside"))
-    top = held.groupBy("k").agg(
-        F.sum("held").alias("n"), F.sum("inside").alias("all"), F.max_by("label", F.struct("held", "label")).alias("major"),
-        F.max("held").alias("most"), F.max_by("inside", F.struct("held", "label")).alias("bulk"),
-    )
-    top = written(top.filter("most < n"), "open-groups")
-    of_all = parts(F.col("n"), F.col("all"))
-    of_minor = parts(F.col("n") - F.col("most"), F.col("all") - F.col("bulk"))
-    own = wide.join(top, "k").select(
-        "k", "node", *prints, "label", (F.col("label") != F.col("major")).alias("minor"),
-        of_all.alias("of_all"), of_minor.alias("of_minor"),
-    )
-    rows = written(_with_sets(own, docs, text, words), "open-sets")
-    words_of = [c for c in prints if c[0] == "w"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["k", "node", *words_of, "label", "set"]
-    left = rows.select(*kept, part(F.col("of_all")).alias("chunk"), every("of_minor").alias("other"))
-    right = rows.filter("minor").select(*kept, every("of_all").alias("chunk"), part(F.col("of_minor")).alias("other"))
-    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    second = components(_sets_across(both, distance, similarity))
-    onward = second.select(F.col("node").alias("component"), F.col("component").alias("further"))
-    moved = first.join(onward, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
-    return moved.unionByName(second)
-
+def repeated_rows(docs: DataFrame, order: str, keys: tuple[str, ...], text: str = "text", words: int = 3, distance: int = DISTANCE) -> DataFrame:
+    """The ``keys`` of all rows but the first of each group of near copies.
 
-def similar_documents(
-    docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8, width: int = 4, recall: float = 0.99
-) -> DataFrame:
-    """``doc_id, component_id`` for every document with an id, linking similar texts.
-
-    Two texts link if the Jaccard similarity of their sets of word shingles is at
-    least ``similarity``, taken exactly on the 64-bit hashes of the shingles.
-    Fingerprints of ``width`` words only find candidates.  Texts that far apart
-    share no block, so buckets take bits at random: as many as the logarithm of
-    the number of classes asks for, and as many tables as find a pair at the
-    threshold with chance ``recall``.  Candidates are grouped by components, and
-    all pairs of a group within the radius that are not linked yet are verified.
-    Texts without words are not similar to any other.
+    Rows are told apart by their long columns ``keys``; equal keys are one row.  The
+    first row of a group has the smallest ``order``, null last, then the smallest keys.
+    Links are those of ``near_duplicates``.
     """
-    names = [f"w{i}" for i in range(width)]
-    docs = docs.filter("doc_id is not null")
-    found = written(_set_prints(docs, text, words, width), "fingerprints")
-    worded, same = found.filter("size > 0"), [*names, "d0", "d1"]
-    classes = written(worded.groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("size").alias("size")), "classes")
-    bits = int(np.clip(round(math.log2(max(classes.count(), 2))) - 4, 4, 60))
-    tables, distance = tables_for(similarity, width, bits, recall), radius(similarity, width, CANDIDATE_SLACK)
-    loose = written(linked_classes(_sampled_keys(classes, width, tables, bits), distance), "candidates")
-    every = loose.unionByName(loose.select(F.col("component").alias("node"), "component").distinct())
-    members = written(classes.join(every.withColumnRenamed("component", "k"), "node"), "members")
-    labels = _similar_sets(members, docs, text, words, distance, similarity)
-    of_class = written(
-        classes.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "of-class"
-    )
-    linked = worded.join(of_class, same).select("doc_id", "component_id")
-    return linked.unionByName(found.filter("size = 0").select("doc_id", F.col("doc_id").alias("component_id")))
+    found = written(fingerprints(docs, text, words, keep=(order, *keys)).withColumnRenamed("w0", "fp"), "fingerprints")
+    grouped = written(found.join(groups(found, distance), "fp").select("label", order, *keys), "groups")
+    place = F.struct(F.col(order).isNull().alias("last"), order, *keys)
+    first = grouped.groupBy("label").agg(F.min(place).alias("first")).select("label", *(F.col(f"first.{k}").alias(f"first_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"first_{k}"))
+    # One group may hold a third of all rows.
+    joined = join_per_key(grouped, first, "label", F.xxhash64(*keys), "inner")
+    return joined.filter(~same).select(*keys).distinct()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm import simhash
 from lectern.llm.components import components, forest
-from tests.llm.conftest import EDGE
 
 
 def slow_fingerprint(text, words=3):
@@ -53,9 +52,7 @@ def test_all_documents_against_all_pairs(documents):
 
 def test_awkward_documents(edge, nothing):
     check(edge)
-    assert simhash.near_duplicates(nothing).count() == simhash.similar_documents(nothing).count() == 0
-    found = simhash.similar_documents(edge).collect()
-    assert len(found) == len([i for i, _ in EDGE if i is not None])
+    assert simhash.near_duplicates(nothing).count() == 0
 
 
 def signed(value):
@@ -98,24 +95,6 @@ def test_pivots_discard_no_near_pair():
     assert (found == (np.bitwise_count(left[:, None] ^ right[None, :]).sum(-1) <= 3)).all()
 
 
-def test_similar_documents_finds_copies_and_leaves_others(spark, documents):
-    rng = random.Random(5)
-    vocabulary = [f"word{i}" for i in range(3000)]
-    rows, truth = [], {}
-    for group in range(60):
-        text = [rng.choice(vocabulary) for _ in range(400)]
-        for copy in range(3):
-            edited = list(text)
-            for at in rng.sample(range(400), 3 * copy):  # up to 6 of 400 words: similarity above 0.85
-                edited[at] = rng.choice(vocabulary)
-            truth[len(rows)] = group * 3
-            rows.append((len(rows), " ".join(edited)))
-    rows += [(1000 + i, None if i % 2 else " ") for i in range(4)]
-    truth |= {1000 + i: 1000 + i for i in range(4)}
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == truth
-
-
 def test_components_of_chains_stars_and_rings(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 300)]
@@ -125,47 +104,3 @@ def test_components_of_chains_stars_and_rings(spark):
     found = {r.node: r.component for r in components(frame).collect()}
     assert found == dict(forest(links))
     assert components(frame.limit(0)).count() == 0
-
-
-def shared_shingles(rng, common):
-    """Two texts of 300 five-word shingles each, of which ``common`` are shared."""
-    words = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
-    first = words(304)
-    return " ".join(first), " ".join([*first[: common + 4], *words(300 - common)] if common else words(304))
-
-
-def test_links_are_exact_similarities(spark):
-    rng, rows, pairs = random.Random(11), [], []
-    for common in (226, 237, 248, 258, 264, 266, 267, 270, 276):  # similarity 0.604 to 0.796, then 0.802 to 0.852
-        for _ in range(12):
-            pairs.append((len(rows), common / (600 - common)))
-            rows += [(len(rows) + i, t) for i, t in enumerate(shared_shingles(rng, common))]
-    # One shingle makes most of these texts; as sets they have little in common.
-    filler = "- " * 900
-    rows += [(len(rows) + i, filler + shared_shingles(rng, 0)[0]) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-
-    def check(found):
-        for a, similarity in pairs:
-            if similarity < 0.8:
-                assert found[a] == a and found[a + 1] == a + 1, similarity
-        assert all(found[i] == i for i in range(len(rows) - 20, len(rows)))
-        return [found[a + 1] == a for a, similarity in pairs if similarity >= 0.8]
-
-    whole = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert sum(check(whole)) >= 35  # of 36, with chance 0.99 each
-
-
-def test_a_template_group_of_many_chunks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CHUNK", 8)
-    rng, rows = random.Random(12), []
-    words = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
-    template = words(240)
-    wanted = {}
-    for site in range(20):  # pages share 236 of 300 shingles with others, and nearly all with their copies
-        page = [*template, *words(64)]
-        for copy in range(4):
-            wanted[len(rows)] = 4 * site
-            rows.append((len(rows), " ".join([*page[:-1], *words(1)])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == wanted
