@@ -14,36 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language, packing, secrets, simhash, suffix
-from lectern.llm.common import written
+from lectern.llm.common import row_hash, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+HASH = ["hash0", "hash1"]
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language the text models know, as those without letters.
+    """Drop rows that language identification rejects: texts without a letter.
 
-    The models learn from the ``lang`` column; a document is then judged by its
-    text and the languages of its source.  Rows without an id are judged by their
-    text alone.
+    The models learn from the ``lang`` column; a row is then judged by its whole
+    text, however long, and the languages of its source.  Rows are told apart by a hash
+    of all their columns, so null and repeated ids do no harm: null and empty texts go,
+    equal rows share their fate.  An empty table stays empty, other columns are kept.
     """
-    model = language.learn(docs)
-    judged = language.identify(docs, "doc_id", model, F.col("text"), host=F.col("source"))
-    rejected = written(judged.filter("rejected").select("doc_id").distinct(), "rejected")
-    kept = docs.join(rejected, "doc_id", "left_anti")
-    # Repeated ids may have one good and one bad row; ids are judged as a whole.
-    return kept.filter(F.col("text").rlike(r"\p{L}"))
+    rows = docs.withColumn("hash", F.struct(*row_hash(docs)))
+    judged = language.identify(rows, "hash", language.learn(docs), F.col("text"), host=F.col("source"))
+    rejected = written(judged.filter("rejected").select("hash.*").distinct(), "rejected")
+    return docs.withColumns(dict(zip(HASH, row_hash(docs)))).join(rejected, HASH, "left_anti").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id in each group of near copies.
-
-    Copies are linked at a similarity of 0.8 on shingles of five words.  Rows without an id cannot be named as copies and stay; of rows that repeat
-    an id one stays.
+    """Keep one row of each group of near copies: the one of smallest id.
+
+    Copies are linked by the SimHash operator, with its three-word shingles of whole
+    texts and at most three differing bits.  Rows, not ids, are compared: different
+    texts under one id both stay, and rows with a null id stay unless a row before them is
+    a copy.  Rows with equal ids stand in the order of a hash of all their columns;
+    equal rows are one.  Texts without words are copies of each other.  An empty table
+    stays empty.
     """
-    groups = simhash.similar_documents(docs, words=5, similarity=0.8)
-    kept = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    rows = docs.withColumns(dict(zip(HASH, row_hash(docs))))
+    repeated = written(simhash.repeated_rows(rows, "doc_id", tuple(HASH)), "repeated")
+    # Joined one way at every size, so that work grows as the input does.
+    left = rows.join(repeated.hint("merge"), HASH, "left_anti")
+    twice = written(rows.groupBy(HASH).count().filter("count > 1").select(HASH), "equal-rows")
+    if not twice.isEmpty():
+        left = left.join(twice, HASH, "left_anti").unionByName(left.join(twice, HASH, "left_semi").dropDuplicates(HASH))
+    return left.select(docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
