@@ -8,6 +8,10 @@ order of the estimated chance that a neighbour lies there, until the chances add
 up to the wanted recall.  Candidates of all tables are ranked by the exact inner
 product on the original vectors and merged.
 
+How far neighbours are differs from query to query.  All begin with a common distance;
+the last of the neighbours found then says how far its own query must look, and the
+query probes on with that distance.  One that found too few visits all buckets.
+
 Buckets are dealt to shards of bounded size; a bucket that is too large, as of
 one very common vector, is split over several.  A shard holds its vectors and
 streams its queries past them.
@@ -15,14 +19,13 @@ streams its queries past them.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import sample_of, written
@@ -46,7 +49,7 @@ class Hashes:
     directions: np.ndarray  # tables x functions x (dimensions + 1)
     shifts: np.ndarray  # tables x functions
     scale: float  # largest norm of a vector
-    reach: float  # distance of the last wanted neighbour
+    reach: float  # distance of the last wanted neighbour, to begin with
     recall: float
 
     def places(self, lifted: np.ndarray) -> np.ndarray:
@@ -61,37 +64,27 @@ class Hashes:
         x = x / np.abs(x).max(1, keepdims=True)
         return np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
 
-    def probes(self, place: np.ndarray) -> Iterator[tuple[int, ...]]:
-        """Buckets of one table for a query, most promising first.
+    def probes(self, place: np.ndarray, slots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of one table for a query, most promising first, and their chances.
 
-        A neighbour at distance ``reach`` is displaced on each function by a
-        Gaussian of that spread, which gives each slot its chance.  Combinations
-        come off a heap in falling order of their product.
+        A neighbour at distance ``reach`` is displaced on each function by a Gaussian
+        of that spread, which gives each slot its chance, and a bucket the product of
+        its slots.  ``slots`` are the buckets that hold vectors; one of them holds the
+        neighbour, so the visit ends when the wanted share of their chances is covered.
         """
-        spread = max(self.reach, 1e-6) / WIDTH * math.sqrt(2)
-        options = []
-        for at in place.tolist():
-            home = math.floor(at)
-            most = math.ceil(3 * spread) + 1
-            slots = range(home - most, home + most + 1)
-            chance = [(math.erf((s + 1 - at) / spread) - math.erf((s - at) / spread)) / 2 for s in slots]
-            options.append(sorted(zip(chance, slots), reverse=True))
-        wanted = 1 - (1 - self.recall) ** (1 / len(self.directions))
-        first = (0,) * len(options)
-        heap, seen, covered = [(-math.prod(o[0][0] for o in options), first)], {first}, 0.0
-        while heap and covered < wanted:
-            chance, picks = heapq.heappop(heap)
-            if chance == 0:
-                return
-            covered -= chance
-            yield tuple(o[p][1] for o, p in zip(options, picks))
-            for k, pick in enumerate(picks):
-                if pick + 1 < len(options[k]):
-                    after = (*picks[:k], pick + 1, *picks[k + 1 :])
-                    if after not in seen:
-                        seen.add(after)
-                        better = chance / options[k][pick][0] * options[k][pick + 1][0]
-                        heapq.heappush(heap, (better, after))
+        spread = max(reach, 1e-6) / WIDTH * math.sqrt(2)
+        low, size = slots.min(0), np.ptp(slots, 0) + 1
+        chance = np.ones(len(slots))
+        for k, at in enumerate(place.tolist()):
+            edges = (np.arange(low[k], low[k] + size[k] + 1) - at) / spread
+            upto = np.array([math.erf(e) for e in edges])
+            chance *= (np.diff(upto) / 2)[slots[:, k] - low[k]]
+        order = np.argsort(-chance, kind="stable")
+        covered, wanted = np.cumsum(chance[order]), 1 - (1 - self.recall) ** (1 / len(self.directions))
+        if not covered[-1] > 0:  # nothing is near; all are as good
+            return order, chance[order]
+        stop = np.searchsorted(covered, wanted * covered[-1]) + 1
+        return order[:stop], chance[order[:stop]]
 
 
 def fit(sample: np.ndarray, rows: int, scale: float, k: int, recall: float = RECALL, seed: int = 7) -> Hashes:
@@ -99,7 +92,7 @@ def fit(sample: np.ndarray, rows: int, scale: float, k: int, recall: float = REC
 
     About a quarter of log2 of the rows as many functions give about as many
     buckets as a bucket has vectors.  The n-th of all rows corresponds to a
-    nearer rank in a sample; the 80 % quantile over sample queries is taken.
+    nearer rank in a sample; the median over sample queries is where they all begin.
     """
     functions = max(1, round(math.log2(max(rows, 2)) / 4))
     rng = np.random.default_rng(seed)
@@ -108,7 +101,7 @@ def fit(sample: np.ndarray, rows: int, scale: float, k: int, recall: float = REC
     queries = hashes.lift_query(sample[:512])
     near = np.sort(2 - 2 * queries @ hashes.lift(sample).T, 1)
     rank = min(max(1, round(k * len(sample) / rows)), near.shape[1] - 1)
-    reach = float(np.sqrt(max(0.0, np.quantile(near[:, rank], 0.8)))) if len(near) else 1.0
+    reach = float(np.sqrt(max(0.0, np.quantile(near[:, rank], 0.5)))) if len(near) else 1.0
     return Hashes(directions, hashes.shifts, scale, reach, recall)
 
 
@@ -180,6 +173,9 @@ def search(
     if common is None:
         return spark.createDataFrame([], schema)
     able = able.filter(F.size("v") == common.width)
+    # Of equal vectors only the smallest ids can be among the nearest of any query.
+    same = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    candidates = able.withColumn("place", same).filter(F.col("place") <= k + 1).drop("place").dropDuplicates(["v", "vec_id"])
     sample = sample_of(able, "vec_id", SAMPLE_ROWS, common.n).toPandas()
     sample = np.array(sample["v"].tolist(), float).reshape(-1, common.width)
     hashes = fit(sample, common.n, common.norm, k, recall)
@@ -196,7 +192,7 @@ def search(
                 )
 
     kind = able.schema["v"].dataType.simpleString()
-    coded = written(able.mapInArrow(code, f"vec_id long, v {kind}, t int, bucket array<long>"), "hashed")
+    coded = written(candidates.mapInArrow(code, f"vec_id long, v {kind}, t int, bucket array<long>"), "hashed")
     # About the root of the number of rows as many buckets.
     counts = coded.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     shards = spark.sparkContext.broadcast(deal([(r.t, tuple(r.bucket), r.n) for r in counts]))
@@ -213,19 +209,34 @@ def search(
             )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = [[b for b in shards.value if b[0] == table] for table in range(TABLES)]
+        slots = [np.array([b[1] for b in some], np.int64) for some in buckets]
+        dealt = [[shards.value[b] for b in some] for some in buckets]
+        every_shard = {s for some in dealt for first, parts in some for s in range(first, first + parts)}
+
+        def visited(of_tables: np.ndarray, reach: float | None) -> set[int]:
+            if reach is None:
+                return every_shard
+            found: set[int] = set()
+            for table, place in enumerate(of_tables):
+                for at in hashes.probes(place, slots[table], reach)[0].tolist():
+                    first, parts = dealt[table][at]
+                    found.update(range(first, first + parts))
+            return found
+
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not every_shard:
                 continue
             places = hashes.places(hashes.lift_query(_vectors(batch, "v")))
             rows, wanted = [], []
-            for row, of_tables in enumerate(places):
-                visited: set[int] = set()
-                for table, of_table in enumerate(of_tables):
-                    for bucket in hashes.probes(of_table):
-                        if (dealt := shards.value.get((table, bucket))) is not None:
-                            visited.update(range(dealt[0], dealt[0] + dealt[1]))
-                rows += [row] * len(visited)
-                wanted += sorted(visited)
+            for row, (of_tables, reach, before) in enumerate(
+                zip(places, batch.column("reach").to_pylist(), batch.column("before").to_pylist(), strict=True)
+            ):
+                new = visited(of_tables, reach)
+                if before is not None:
+                    new = new - visited(of_tables, before)
+                rows += [row] * len(new)
+                wanted += sorted(new)
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(wanted, pa.int64()), pa.array([1] * len(rows), pa.int32()), taken.column("vec_id"), taken.column("v")],
@@ -259,16 +270,31 @@ def search(
                     yield pa.RecordBatch.from_arrays([pa.array(own), found], ["query_id", "found"])
 
     held = coded.mapInArrow(place, f"shard long, side int, vec_id long, v {kind}")
-    asked = able.filter(F.col("vec_id") % every == 0).mapInArrow(ask, f"shard long, side int, vec_id long, v {kind}")
-    dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "side", "vec_id")
-    merged = dealt.mapInArrow(rank, "query_id long, found array<struct<low:double,vec_id:long>>")
-    ordered = merged.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    # A candidate of several tables comes with the same score, so next to itself.
-    new = F.filter("found", lambda pair, i: (i == 0) | (pair != F.get("found", F.greatest(i - 1, F.lit(0)))))
-    return (
-        ordered.select("query_id", F.slice(new, 1, k).alias("nearest"))
-        .select("query_id", F.posexplode("nearest").alias("at", "near"))
-        .select(
-            "query_id", (F.col("at") + 1).cast("int").alias("rank"), "near.vec_id", (-F.col("near.low")).alias("score")
-        )
+
+    def answers(queries: DataFrame) -> DataFrame:
+        """Lists of what ``queries(vec_id, v, reach, before)`` find in the shards they visit."""
+        asked = queries.select("vec_id", "v", "reach", "before").mapInArrow(ask, f"shard long, side int, vec_id long, v {kind}")
+        dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "side", "vec_id")
+        return dealt.mapInArrow(rank, "query_id long, found array<struct<low:double,vec_id:long>>")
+
+    def merged(lists: DataFrame) -> DataFrame:
+        ordered = lists.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+        # A candidate of several tables comes with the same score, so next to itself.
+        new = F.filter("found", lambda pair, i: (i == 0) | (pair != F.get("found", F.greatest(i - 1, F.lit(0)))))
+        return ordered.select("query_id", F.slice(new, 1, k).alias("found"))
+
+    queries = able.filter(F.col("vec_id") % every == 0)
+    none = F.lit(None).cast("double")
+    first = written(merged(answers(queries.withColumns({"reach": F.lit(hashes.reach), "before": none}))), "first-answers")
+    # The last one found is at least as far as the last true neighbour.
+    cosine = -F.get("found", F.lit(k - 1))["low"] / (norm * hashes.scale)
+    own = F.when(F.size("found") >= k, F.sqrt(F.greatest(2 - 2 * cosine, F.lit(0.0))))
+    further = (
+        queries.join(first.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+        .select("vec_id", "v", own.alias("reach"), F.lit(hashes.reach).alias("before"))
+        .filter(F.col("reach").isNull() | (F.col("reach") > F.col("before")))
+    )
+    found = merged(first.unionByName(answers(further)))
+    return found.select("query_id", F.posexplode("found").alias("at", "near")).select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "near.vec_id", (-F.col("near.low")).alias("score")
     )

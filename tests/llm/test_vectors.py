@@ -134,9 +134,55 @@ def test_few_and_no_vectors(spark):
 def test_probes_come_in_falling_order_and_cover():
     rng = np.random.default_rng(1)
     hashes = ann.fit(rng.normal(size=(300, 8)), 300, 5.0, 20)
-    probes = list(hashes.probes(np.array([0.3, 2.7])[: hashes.shifts.shape[1]]))
-    assert len(set(probes)) == len(probes)
-    assert probes[0] == tuple(math.floor(v) for v in [0.3, 2.7][: hashes.shifts.shape[1]])
+    slots = np.unique(rng.integers(-6, 6, (200, hashes.shifts.shape[1])), axis=0)
+    place = slots[17] + 0.5
+    for reach, most in ((0.05, 1), (1.0, len(slots)), (1e9, len(slots))):
+        probes, chances = hashes.probes(place, slots, reach)
+        assert len(set(probes.tolist())) == len(probes) <= most
+        assert probes[0] == 17 or reach > 1 and (np.diff(chances) <= 0).all()
+    near, far = (len(hashes.probes(place, slots, r)[0]) for r in (0.05, 1.0))
+    assert near < far
+    assert len(hashes.probes(place + 1e9, slots, 0.1)[0]) == len(slots)  # nothing near: all
+
+
+def recalls(spark, x, parts, k=20, every=20):
+    """Share of true neighbours found, for the queries of each part."""
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    found = ann.search(frame(spark, rows), every=every, k=k).toPandas()
+    got = found.groupby("query_id")["vec_id"].apply(set)
+    out = {name: [] for name in set(parts)}
+    for q in range(0, len(x), every):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        out[parts[q]].append(len(got[q] & set(np.lexsort((np.arange(len(x)), -score))[:k].tolist())) / k)
+    return {name: float(np.mean(v)) for name, v in out.items()}
+
+
+def test_recall_in_dense_and_in_spread_parts(spark):
+    """Most vectors in tight clusters, the rest spread: each part must be found."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = unit(rng.normal(size=(60, 48)))
+    inside = unit(centres[rng.integers(0, 60, 10_200)] + 0.02 * rng.normal(size=(10_200, 48)))
+    x = np.concatenate([inside, unit(rng.normal(size=(1800, 48)))])
+    parts = np.array(["dense"] * len(inside) + ["spread"] * 1800)
+    order = rng.permutation(len(x))
+    found = recalls(spark, x[order], parts[order])
+    assert found["dense"] >= 0.9 and found["spread"] >= 0.9
+
+
+def test_one_very_common_vector(spark):
+    """A third of the rows are one vector: its smallest ids stand for it."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[1000:2000] = x[5]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, x[5].tolist(), 1)] * 500
+    found = ann.search(frame(spark, rows), every=20, k=20).toPandas()
+    own = found[found["query_id"] == 1500].sort_values("rank")
+    assert own["vec_id"].tolist()[0] in (5, *np.argsort(-(x @ x[5]))[:1].tolist()) and own["vec_id"].is_unique
+    exact = lambda q: np.lexsort((np.arange(3000), -np.where(np.arange(3000) == q, -np.inf, (x * x[q]).sum(1))))[:20].tolist()
+    assert own["vec_id"].tolist() == exact(1500)
+    assert np.mean([len(set(found[found["query_id"] == q]["vec_id"]) & set(exact(q))) for q in range(0, 3000, 20)]) >= 18
 
 
 @pytest.mark.parametrize("shared", [0.0, 0.6, 0.8])
