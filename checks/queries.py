@@ -331,7 +331,7 @@ def selected_chapters(spark, sf_dir, chapters):
 
 
 def narration_select(spark, sf_dir):
-    return selected_chapters(spark, sf_dir, named_chapters(spark, sf_dir)).select(
+    return selected_chapters(spark, sf_dir, chapter_names(spark, sf_dir)).select(
         "book_id", "chapter_number", "resolved_title", "filename"
     )
 

@@ -16,10 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lectern.functions.rule_dialect import Rule
-from lectern.plans.chapters import chapters_of_archives, with_texts
+from lectern.plans.chapters import chapters_of_archives, observed, with_texts
 from lectern.sources import epub
 
 # Bytes of archives in one micro-batch, so that the first one is not the whole collection.
@@ -71,11 +71,43 @@ def _sink(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+class Progress(StreamingQueryListener):
+    """The progress figures of a stream of chapters, added up over its micro-batches.
+
+    Register it with ``spark.streams.addListener``; ``figures`` are those that
+    ``plans.chapters.observed`` names, under the name the stream was given.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.name, self.batches = name, 0
+        self.figures: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        if seen is not None:
+            self.batches += 1
+            for figure, value in seen.asDict().items():
+                self.figures[figure] = self.figures.get(figure, 0) + (value or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def convert_archives(
-    archives: DataFrame, folder: str, checkpoint: str, rules: Sequence[Rule] = (),
+    archives: DataFrame, folder: str, checkpoint: str, rules: Sequence[Rule] = (), progress: str = "",
 ) -> StreamingQuery:
-    """Write the chapter table of all archives that have arrived."""
-    return _sink(chapters_of_archives(epub.unpack(archives), rules), folder, checkpoint)
+    """Write the chapter table of all archives that have arrived.
+
+    ``progress`` names the figures that a ``Progress`` listener adds up.
+    """
+    chapters = chapters_of_archives(epub.unpack(archives), rules)
+    return _sink(observed(chapters, progress) if progress else chapters, folder, checkpoint)
 
 
 def ingest_archives(files: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
