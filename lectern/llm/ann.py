@@ -159,8 +159,8 @@ def search(
     are all rows but those with the query's id.  Rows without an id and vectors
     that are null, zero or not finite, or of another length than the most common
     one (ties: the longest), take no part.  Rows that repeat an id and a vector
-    count once.  With fewer than ``k`` candidates all are returned; an empty
-    table gives no rows.
+    count once.  Equal scores go to the smaller id.  With fewer than ``k`` candidates
+    all are returned; an empty table gives no rows.  Other columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

@@ -362,7 +362,9 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFram
 
     One pass, no shuffle; ids never leave the task.  Columns: ``doc_id,
     n_tokens, ids_sha256, decoded_sha256``.  Null and empty texts give no
-    tokens and the digests of nothing.
+    tokens and the digests of nothing.  Whole texts are encoded, however long.  Rows are
+    taken one by one, so null and repeated ids stay as they are; an empty table gives
+    no rows, and other columns are not read.
     """
     make = codec_maker(docs.sparkSession, ranks_path)
 

@@ -219,7 +219,7 @@ def near_duplicates(
     take no part.  Pairs are found with a chance of about 0.99 at the threshold, more above;
     the plan is made on the sample's codes, so a mean that vectors have in common costs
     tables, not links.  Rows that share an id are one vector for components; each row counts
-    in ``n_links``.  An empty table gives no rows.
+    in ``n_links``.  An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     able = rows.filter(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())

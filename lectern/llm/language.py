@@ -182,7 +182,12 @@ def identify(
 
     ``rejected`` if the text has no letter or no language reaches ``least``; the
     language is then ``und``.  Null and empty texts are rejected.  Repeated or
-    null keys get a row each.  Without languages in the model all is rejected.
+    null keys get a row each, equal rows equal ones.  Whole texts count, however long.  Of
+    languages that are equally likely the first by name is taken.  Without languages in
+    the model all is rejected; an empty table gives no rows.  Only the named columns are read.
+
+    The models are a closed set: a text in another language is named as the closest one,
+    and no text with letters is rejected for being in none.
     """
     none = F.lit(None).cast("string")
     lower = lambda c: none if c is None else F.nullif(F.lower(c), F.lit(""))

@@ -250,7 +250,9 @@ def pack(
 
     Columns: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
     An empty table gives no rows.  Repeated or null ids are packed like any
-    other; columns but ``doc_id`` and the text are not read.
+    other; columns but ``doc_id`` and the text are not read.  Whole texts are packed,
+    however long; null and empty ones are a piece of one token.  Pieces of one length
+    are interchangeable, so which of them shares a sequence with which is open.
 
     Texts are read once; the narrow piece table is written to the shared folder.
     The driver sees only the histogram of lengths, at most ``capacity`` rows.

@@ -201,7 +201,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
 
     One row per row of ``docs``, also for null and empty texts, null and repeated
     ids (which count as not held out, if null).  Without any labelled row the
-    score is 0.5.  Only the text is an input of the score.
+    score is 0.5.  Only the text is an input of the score, whole and however long;
+    rows alike have scores alike.  Rows that repeat an id in ``labels`` count as so many
+    examples of it.  An empty table gives no rows; other columns are not read.
     """
     table = written(features(docs, text), "quality")
     model = docs.sparkSession.sparkContext.broadcast(train(table, labels))

@@ -116,7 +116,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     One row per row of ``messages``.  A null text is empty; a null ``conv_id`` or
     ``turn`` links with nothing and is its own root.  Rows that share a turn count
-    as one message for links.  Extra columns are not read.
+    as one message for links.  Whole texts are read, however long; an empty table gives
+    no rows.  Extra columns are not read.
     """
     messages = messages.select("conv_id", "turn", "role", "text")
     found = written(parents(messages), "links")

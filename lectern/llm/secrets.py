@@ -181,7 +181,8 @@ def scan(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
     Columns: ``doc_id, n_assign, n_access, n_hex, n_spans, base_spans, spans,
     clean_text``.  A null or empty text has no spans and the empty string in
     their place; ``clean_text`` is null where the text is.  Rows are taken one by
-    one, so repeated or null ids stay as they are; other columns are not read.
+    one, so repeated or null ids stay as they are; other columns are not read.  Whole
+    texts are scanned, however long; an empty table gives no rows.
     """
     schema = (
         "doc_id long, n_assign long, n_access long, n_hex long, n_spans long, "

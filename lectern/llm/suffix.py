@@ -539,7 +539,8 @@ def deduplicate(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Da
     One row per row of ``docs``.  Null and empty texts have no bytes.  Null ids
     come after all others, rows with one id and different texts are ordered by
     hash of the text, and equal rows count as one document, so neither repeats
-    the other.
+    the other.  Whole texts are read, however long; an empty table gives no rows and
+    other columns are not read.
     """
     narrow = docs.select("doc_id", text)
     return _removed(narrow, text, length).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept")
