@@ -4,8 +4,9 @@ Two tiers:
 
 * the native tier is a chain of regular expressions inside the JVM.  It is
   exact for pages of a *simple shape*: an explicit ``<body>``, nothing but the
-  usual metadata before it, no raw-text elements and no text between table cells
-  inside it, and only character references that it can decode;
+  usual metadata before it, no text between table cells inside it, no raw-text elements
+  but closed scripts and styles without references or markup, and only character
+  references that it can decode;
 * every other page goes through one Arrow-batched tokenizer
   (:mod:`lectern.functions.html_tokens`).
 
@@ -48,6 +49,15 @@ def _raw_element(name: str) -> str:
     return rf"{_start_tag(name)}.*?</{name}(?=[{_WS}/>]){_ATTRIBUTES}>"
 
 
+def _plain_raw(name: str, group: str) -> str:
+    """A closed raw element that holds neither references nor markup; ``group`` opens its content.
+
+    Such content is text as it stands, in HTML and in graphics inside it alike.
+    """
+    return rf"<{name}(?=[{_WS}/>]){_ATTRIBUTES}>{group}[^<&]*+)</{name}(?=[{_WS}/>]){_ATTRIBUTES}>"
+
+
+_RAW_IN_BODY = ("script", "style")
 # Everything up to and including the <body> tag of a simple page.
 _PRELUDE = (
     rf"(?is)\A\x{{FEFF}}?(?:[{_WS}]++|{_COMMENT}|{_BOGUS_COMMENT}"
@@ -55,7 +65,7 @@ _PRELUDE = (
     rf"|</?(?:html|head|meta|link|base)(?=[{_WS}/>]){_ATTRIBUTES}>)*+"
     rf"{_start_tag('body')}"
 )
-# Elements whose content is not markup; a simple page has none after <body>.
+# Elements whose content is not markup; after <body> a simple page has only plain ones of two kinds.
 _RAW_NAMES = "script|style|title|textarea|noscript|iframe|noembed|noframes|xmp|plaintext"
 _TABLE_PART = "caption|colgroup|col|thead|tbody|tfoot|tr|td|th|table"
 # Table markup followed by anything that may not stand outside a cell.
@@ -65,10 +75,12 @@ _STRAY = (
     rf"(?:[{_WS}]++|{_COMMENT})*+(?:[^<{_WS}]|<(?!/?(?:{_TABLE_PART})[{_WS}/>]))"
 )
 _NOT_SIMPLE = rf"(?:{_RAW_NAMES})[{_WS}/>]|!\[CDATA\[|{_STRAY}"
-_SIMPLE_BODY = rf"{_PRELUDE}((?:[^<]++|<(?!{_NOT_SIMPLE}))*+)\z"
+_PLAIN_RAWS = "|".join(_plain_raw(name, "(?:") for name in _RAW_IN_BODY)
+_SIMPLE_BODY = rf"{_PRELUDE}((?:[^<]++|{_PLAIN_RAWS}|<(?!{_NOT_SIMPLE}))*+)\z"
 # Markup inside the body; a newline right after these block tags is not text.
 _MARKUP = (
-    r"(?is)<(?:!--(?:-?>|.*?(?:--!?>|\z))"
+    rf"(?is){'|'.join(_plain_raw(name, '(') for name in _RAW_IN_BODY)}"
+    r"|<(?:!--(?:-?>|.*?(?:--!?>|\z))"
     rf"|(?:pre|listing)(?=[{_WS}/>]){_ATTRIBUTES}{_TAG_END}\n?"
     r"|(?:[!?]|/(?![a-z]))[^>]*+(?:>|\z)"
     rf"|/?[a-z][^{_WS}/>]*+{_ATTRIBUTES}{_TAG_END})"
@@ -145,14 +157,22 @@ def simple_body(html: Column) -> Column:
     return F.regexp_extract(html, _SIMPLE_BODY, 1)
 
 
+def needs_tokenizer(html: Column) -> Column:
+    """Whether the shape of a page sends it to the tokenizer, for reports."""
+    return simple_body(_newlines(html)) == ""
+
+
 def is_simple_text(text: Column) -> Column:
     """True where the native tier can decode every character reference."""
     return ~F.contains(text, F.lit("\0")) & ~F.rlike(text, F.lit(_UNKNOWN_REFERENCE))
 
 
 def strip_markup(body: Column) -> Column:
-    """The text between the tags, character references still encoded."""
-    return F.regexp_replace(body, _MARKUP, "")
+    """The text between the tags, character references still encoded.
+
+    What a raw element holds is text as well.
+    """
+    return F.regexp_replace(body, _MARKUP, "$1$2")
 
 
 def _decode_number(digits: Column) -> Column:

@@ -121,13 +121,37 @@ def test_native_tier_equals_tokenizer_where_it_applies(spark):
         assert row.section == page["section_title"], row.html
 
 
+def test_raw_elements_are_read_natively_and_alike(spark):
+    rng = random.Random(12)
+    parts = [
+        "<script>", "</script>", "<script src='a.js'>x = 1;</script>", "<style>p{}</style>", "<STYLE\ttype=a>\n</Style >", "<style>", "</style>",
+        "<script>a<b</script>", "<script>a&amp;b</script>", "<script><!-- </script>", "<!-- <script>in</script> -->",
+        "<a title='<script>x</script>'>", "<svg>", "</svg>", "<svg><style>b</style></svg>", "<p>", "</p>", "t ", "&amp;", "<script/>", "</script\n>",
+        "<table>", "<tr>", "<td>", "</table>", "<script></script>", "\n", "<pre>\n",
+    ]
+    pages = ["<head><title>t</title></head><body>" + "".join(rng.choices(parts, k=rng.randint(1, 8))) for _ in range(4000)]
+    found = extract(spark, pages)
+    for page, (text, title, section) in zip(pages, found):
+        wanted = read_page(page)
+        assert (text, title, section) == (wanted["body_text"], wanted["title_tag"], wanted["section_title"]), page
+    rows = spark.createDataFrame([(p,) for p in pages], "html string")
+    native = rows.filter(~H.needs_tokenizer(F.col("html")) & F.contains("html", F.lit("<script"))).count()
+    assert native > 400
+
+
+def test_fewer_pages_reach_the_tokenizer(spark):
+    """Of the registered pages only those without a body that is simple; scripts no longer count."""
+    pages = spark.createDataFrame([(f"<body><article><script>count({i});</script>a &amp; b</article></body>",) for i in range(9)], "html string")
+    assert pages.filter(H.needs_tokenizer(F.col("html"))).count() == 0
+
+
 @pytest.mark.parametrize("page", ["<sup" * 200_000, "<sup>1" * 100_000, "<sup>" + " " * 300_000 + "1"])
 def test_unfinished_footnotes_take_linear_time(apply, page):
     assert apply(H.filter_footnotes, [page]) == [page]
 
 
 @pytest.mark.parametrize("tail", ["<b " + "x " * 200_000, "<!-- " + "-" * 200_000, "&" * 200_000, "<" * 100_000,
-                                  "<svg>" + "<title>" * 50_000, "<script>" * 50_000, "<table>" * 50_000])
+                                  "<svg>" + "<title>" * 50_000, "<script>" * 50_000, "<script>x</script>" * 20_000, "<table>" * 50_000])
 def test_hostile_pages_neither_recurse_nor_backtrack(spark, tail):
     [(text, _, _)] = extract(spark, ["<body>" + tail])
     assert text == read_page("<body>" + tail)["body_text"]
