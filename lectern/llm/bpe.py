@@ -36,6 +36,8 @@ OTHER, LETTER, NUMBER, BLANK, SPACE, QUOTE = range(6)
 STATES = 8
 BLOCK = 64
 # Pieces kept in the cache of a task; beyond it the cache starts anew.
+# Ids that are decoded at once, which bounds the working memory.
+DECODED_IDS = 1 << 16
 CACHED_PIECES = 1 << 19
 # Longer pieces are merged one by one.
 LONG_PIECE = 48
@@ -275,6 +277,12 @@ class Codec:
         self.table, self.merger = table, PairMerger(ranks)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
+        # All pieces in one row of bytes, by id.
+        self.sizes = np.zeros(max(self.bytes_of, default=-1) + 1, np.int64)
+        for rank, piece in self.bytes_of.items():
+            self.sizes[rank] = len(piece)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of[r] for r in sorted(self.bytes_of)), np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
@@ -291,11 +299,28 @@ class Codec:
 
     def offsets(self, ids: list[int]) -> list[int]:
         """Byte offset of each id, and of the end of the text."""
-        sizes = [len(self.bytes_of[i]) for i in ids]
-        return [0, *np.cumsum(sizes).tolist()]
+        return self._offsets(np.array(ids, np.int64)).tolist()
+
+    def _offsets(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.sizes[ids])])
+
+    def decode_all(self, texts: list[list[int]]) -> list[bytes]:
+        """The bytes of each text: every id's bytes go to its offset, and texts are cut at theirs."""
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids = np.fromiter(chain.from_iterable(texts), np.int64, int(counts.sum()))
+        if len(ids) and not ((ids >= 0) & (ids < len(self.sizes)) & (self.sizes[np.clip(ids, 0, len(self.sizes) - 1)] > 0)).all():
+            raise KeyError("an id that the vocabulary does not have")
+        offsets, parts = self._offsets(ids), []
+        for low in range(0, len(ids), DECODED_IDS):
+            some, at = ids[low : low + DECODED_IDS], offsets[low : low + DECODED_IDS + 1]
+            places = np.repeat(self.starts[some] - at[:-1], self.sizes[some]) + np.arange(at[0], at[-1])
+            parts.append(self.flat[places].tobytes())
+        joined = b"".join(parts)
+        ends = offsets[np.cumsum(counts)].tolist()
+        return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_all([ids])[0]
 
 
 def codec_maker(spark: SparkSession, ranks_path: str, library: str = "tiktoken") -> Callable[[], Codec]:
@@ -358,7 +383,7 @@ def pa_schema_ddl(frame: DataFrame, more: str) -> str:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """Encode every text and decode its ids again, keeping digests of both.
+    """Encode every text and decode its ids again at their offsets, keeping digests of both.
 
     One pass, no shuffle; ids never leave the task.  Columns: ``doc_id,
     n_tokens, ids_sha256, decoded_sha256``.  Null and empty texts give no
@@ -374,10 +399,11 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFram
         decimal = {i: str(i) for i in codec.bytes_of}
         for batch in slices(batches, text):
             sizes, of_ids, of_bytes = [], [], []
-            for ids in codec.encode(texts_of(batch, text)):
+            encoded = codec.encode(texts_of(batch, text))
+            for ids, back in zip(encoded, codec.decode_all(encoded), strict=True):
                 sizes.append(len(ids))
                 of_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                of_bytes.append(hashlib.sha256(back).hexdigest())
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(x, pa.string()) for x in (of_ids, of_bytes)]
             yield pa.RecordBatch.from_arrays(

@@ -67,3 +67,19 @@ def test_digests(edge, documents):
 @pytest.mark.parametrize("operator", [bpe.round_trip, bpe.encode])
 def test_empty_table(nothing, operator):
     assert operator(nothing, PATH).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 3])
+def test_texts_are_decoded_at_their_offsets(spark, monkeypatch, at_once):
+    monkeypatch.setattr(bpe, "DECODED_IDS", at_once)
+    codec = bpe.codec_maker(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))()
+    texts = ["", "a", "Ünïcödé 漢字 \U0001f600 \x00", "", "the same words " * 500, "\n\n  x"]
+    ids = codec.encode(texts)
+    assert codec.decode_all(ids) == [t.encode() for t in texts]
+    assert codec.decode_all([]) == [] and codec.decode([]) == b""
+    for text, own in zip(texts, ids):
+        at = codec.offsets(own)
+        assert [text.encode()[a:b] for a, b in zip(at, at[1:])] == [codec.bytes_of[i] for i in own]
+    for wrong in (-1, 10**7):
+        with pytest.raises(KeyError):
+            codec.decode([0, wrong])
