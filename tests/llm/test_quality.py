@@ -63,3 +63,40 @@ def test_statistics_are_finite():
     for text in ("", " ", "a", "|||", "x" * 10, "a b\n\nc", "漢字"):
         found = quality.statistics(text)
         assert len(found) == len(quality.STATISTICS) and np.isfinite(found).all()
+
+
+def slow_trees(x, y, trees, depth, bins, rate=0.12, ridge=1.0, least=4.0):
+    """Scores of the training rows, with every split of every node tried by itself."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)  # noqa: E731, B023
+
+        def grown(rows, level):
+            best = (1e-6, None)
+            for f in range(x.shape[1]) if level < depth else ():
+                for limit in edges[f]:
+                    left, right = rows[x[rows, f] <= limit], rows[x[rows, f] > limit]  # noqa: B023
+                    if h[left].sum() >= least and h[right].sum() >= least:  # noqa: B023
+                        gain = worth(left) + worth(right) - worth(rows)  # noqa: B023
+                        if gain > best[0] * (1 + 1e-9):
+                            best = (gain, (left, right))
+            if best[1] is None:
+                total[rows] -= rate * g[rows].sum() / (h[rows].sum() + ridge)  # noqa: B023
+            else:
+                for part in best[1]:
+                    grown(part, level + 1)
+
+        grown(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_equal_split_by_split_search():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, 5))
+    x[:, 3] = np.round(x[:, 3])  # few values, so bins are missing
+    y = ((x[:, 0] + x[:, 1] ** 2 + 0.3 * x[:, 3] + 0.3 * rng.normal(size=240)) > 0.8).astype(float)
+    model = quality.grow(x, y, trees=12, depth=3, bins=8)
+    assert np.allclose(model.score(x), slow_trees(x, y, 12, 3, 8), atol=1e-9)
