@@ -11,5 +11,5 @@ import sys
 
 from pyspark import cloudpickle
 
-# Executors get the functions themselves, so the package need not be installed there.
+# Executors get the functions themselves; they need the package for broadcast models only.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
