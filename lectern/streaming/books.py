@@ -57,7 +57,7 @@ def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
-    """New Parquet files with HTML pages."""
+    """New Parquet files with HTML pages; ``folder`` may be a pattern, which finds folders and single files."""
     return spark.readStream.schema(PAGES).option("pathGlobFilter", glob).parquet(folder)
 
 
