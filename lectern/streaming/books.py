@@ -11,7 +11,8 @@ in a batch run.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ from lectern.sources import epub
 
 # Bytes of archives in one micro-batch, so that the first one is not the whole collection.
 BATCH_BYTES = 64 << 30
+# For streams of many small files: a micro-batch lists its files again, by so many tasks for
+# each core instead of 10,000, and a task takes more of them than 4 MB a file would allow.
+LISTING_TASKS = 4
+OPEN_BYTES = 256 << 10
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -41,10 +46,28 @@ PAGES = T.StructType(
 )
 
 
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Settings of the session while streams of many small files run."""
+    wanted = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": LISTING_TASKS * spark.sparkContext.defaultParallelism,
+        "spark.sql.files.openCostInBytes": OPEN_BYTES,
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def file_stream(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """New archives in ``folder`` and all folders below it.
 
-    A micro-batch takes files of up to ``batch_bytes`` in all, and one file at least.
+    A micro-batch takes files of up to ``batch_bytes`` in all, and one file at least.  See
+    ``small_files`` for many small ones.
     """
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     reader = reader.option("recursiveFileLookup", "true").option("maxBytesPerTrigger", batch_bytes)
