@@ -2,7 +2,8 @@
 
 All steps work row by row, so the streams keep no state and need no watermark:
 the checkpoint remembers which files were read.  A file is taken once per path;
-a book written again under the same path is not converted again.
+a book written again under the same path is not converted again.  Of a stream with a
+table of arrivals it remembers lots of files, and the driver holds no list of files.
 
 ``ingest_archives`` opens every archive once and appends what it holds to one
 table; chapters, books, contents and rejects are the same views of that table as
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from lectern.functions.rule_dialect import Rule
 from lectern.plans.chapters import chapters_of_archives, observed, with_texts
-from lectern.sources import epub
+from lectern.sources import epub, listing, outputs
 
 # Bytes of archives in one micro-batch, so that the first one is not the whole collection.
 BATCH_BYTES = 64 << 30
@@ -29,6 +31,9 @@ BATCH_BYTES = 64 << 30
 # each core instead of 10,000, and a task takes more of them than 4 MB a file would allow.
 LISTING_TASKS = 4
 OPEN_BYTES = 256 << 10
+# For streams of lots, more than a task takes: each lot is a task.
+LOT_OPEN_BYTES = 1 << 40
+ARRIVED = "path string, length long"
 BINARY_FILE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -47,11 +52,14 @@ PAGES = T.StructType(
 
 
 @contextmanager
-def small_files(spark: SparkSession) -> Iterator[None]:
-    """Settings of the session while streams of many small files run."""
+def small_files(spark: SparkSession, open_bytes: int = OPEN_BYTES) -> Iterator[None]:
+    """Settings of the session while streams of many small files run.
+
+    ``open_bytes`` is ``LOT_OPEN_BYTES`` for streams with a table of arrivals.
+    """
     wanted = {
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": LISTING_TASKS * spark.sparkContext.defaultParallelism,
-        "spark.sql.files.openCostInBytes": OPEN_BYTES,
+        "spark.sql.files.openCostInBytes": open_bytes,
     }
     before = {name: spark.conf.get(name, None) for name in wanted}
     try:
@@ -63,17 +71,58 @@ def small_files(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def file_stream(spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def file_stream(
+    spark: SparkSession, folder: str, batch_bytes: int = BATCH_BYTES, arrivals: str = "",
+) -> DataFrame:
     """New archives in ``folder`` and all folders below it.
 
     A micro-batch takes files of up to ``batch_bytes`` in all, and one file at least.  See
     ``small_files`` for many small ones.
+
+    Spark's file source keeps every file it has seen on the driver.  With ``arrivals``, a folder that
+    belongs to the stream as its checkpoint does, executors list ``folder``, by its letters,
+    and append what is new to a table there; the stream takes ``path, length`` from that table, lot by
+    lot, so that the driver and the checkpoint hold lots.  A micro-batch takes lots of up to about
+    ``batch_bytes``, and one lot at least.
     """
+    if arrivals:
+        lot = min(epub.TASK_BYTES, batch_bytes)
+        _announce(spark, folder, arrivals, lot)
+        lots = spark.readStream.schema(ARRIVED).option("maxFilesPerTrigger", batch_bytes // lot)
+        return lots.parquet(arrivals)
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     reader = reader.option("recursiveFileLookup", "true").option("maxBytesPerTrigger", batch_bytes)
     return reader.load(folder).filter(epub.is_archive(F.col("path"), []))
 
 
+def _announced(spark: SparkSession, arrivals: str) -> DataFrame | None:
+    """The table of arrivals, if there is one yet."""
+    try:
+        return spark.read.schema(ARRIVED).parquet(arrivals)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _announce(spark: SparkSession, folder: str, arrivals: str, lot_bytes: int) -> None:
+    """Append the archives below ``folder`` that ``arrivals`` does not name, each lot a file.
+
+    What a run that failed has appended is named there, so no archive is in two lots.
+    """
+    files, lost = listing.resolve(spark, folder)
+    unlisted = lost.filter(F.col("reason") != listing.EMPTY).first()
+    if unlisted is not None:
+        raise OSError(f"{unlisted.path}: {unlisted.reason}")
+    known = _announced(spark, arrivals)
+    new = files if known is None else files.join(known, "path", "left_anti")
+    size, count = new.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    if count or known is None:
+        lots = -(-(size + count * outputs.OPEN_BYTES) // lot_bytes)
+        lots = min(max(spark.sparkContext.defaultParallelism, lots), max(count, 1))
+        new.repartition(lots).write.mode("append").parquet(arrivals)
+
+
 def archive_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New archives below ``folder`` as ``(path, content)`` rows."""
     return epub.readable(file_stream(spark, folder))
